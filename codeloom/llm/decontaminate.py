@@ -142,7 +142,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: float
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if benchmark_bytes(items, item_text) > broadcast_bytes:
-        return _by_join(docs, items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")), n, max_share)
+        return _by_join(docs, items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")), n, max_share).drop("text_hash")
     _, grams = _grams(items, n, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +153,23 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: float
     return docs.mapInArrow(run, HITS)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: float = MAX_SHARE, text_col: str = "text", length_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the words found by ``contaminated`` cut out, without the documents it drops; the same columns.
 
     length_col, if docs has it, gets the new length of changed texts. Other rows and columns stay as they are.
-    The benchmark must be within BROADCAST_BYTES; for a larger one, join docs with ``contaminated`` by id.
+    id_col is used for a benchmark beyond broadcast_bytes only: what was found is then joined to docs.
     """
-    if benchmark_bytes(items, item_text) > BROADCAST_BYTES:
-        raise ValueError("the benchmark is too large to be sent to all executors: join with contaminated() instead")
-    _, grams = _grams(items, n, item_id, item_text)
     length_col = length_col if length_col in docs.columns else None
+    if benchmark_bytes(items, item_text) > broadcast_bytes:
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        found = _by_join(own, items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")), n, max_share)
+        found = found.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), F.col("action").alias("found_action"), F.col("clean_text").alias("found_text")).dropDuplicates(["found_id", "found_hash"])
+        joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found.found_id) & (F.xxhash64(docs[text_col].cast("string")) == found.found_hash), "left").where(found.found_action.isNull() | (found.found_action == "cut"))
+        new = {text_col: F.coalesce(found.found_text, docs[text_col])}
+        if length_col:
+            new[length_col] = F.when(found.found_text.isNotNull(), F.length(found.found_text)).otherwise(docs[length_col])
+        return joined.select(*[new.get(f.name, docs[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
+    _, grams = _grams(items, n, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +193,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: flo
 
 def _by_join(docs: DataFrame, items: DataFrame, n: int, max_share: float) -> DataFrame:
     """``contaminated`` for a benchmark of any size: only the items that share a hash with a document travel to it."""
-    doc_key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -211,15 +216,15 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, max_share: float) -> Dat
     windows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(doc_windows, "doc_id long, h long, size int, hash long")
     met = windows.join(known.select("size", "hash", "item_id", "item_text"), ["size", "hash"]).select("doc_id", "h", "item_id", "item_text").distinct()
     near = met.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
-    joined = docs.withColumn("h", doc_key["h"]).alias("d").join(near.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.h = n.h")).select("d.doc_id", "d.text", "n.items")
+    joined = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).alias("d").join(near.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.h = n.h")).select("d.doc_id", "d.text", "n.items", "d.h")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, t, found in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(i, *row) for _, row in findings([t], Grams([(x["item_id"], x["item_text"]) for x in found], n), max_share)]
-            yield batch_of(rows, _HITS)
+            for i, t, found, h in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(i, *row, h) for _, row in findings([t], Grams([(x["item_id"], x["item_text"]) for x in found], n), max_share)]
+            yield batch_of(rows, _HITS.append(pa.field("text_hash", pa.int64())))
 
-    return joined.mapInArrow(verify, HITS)
+    return joined.mapInArrow(verify, HITS + ", text_hash long")
 
 

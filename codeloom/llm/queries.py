@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, secrets, simhash, tokens
+from . import decontaminate, langid, licenses, mixing, secrets, simhash, tokens, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,18 +33,32 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.languages(docs, langid.fit(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_decontaminate": op2_decontaminate,
-    "op3_token_counts": op3_token_counts,
-    "op4_secrets": op4_secrets,
-    "op5_licenses": op5_licenses,
-    "op8_simhash": op8_simhash,
-}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_token_counts, op4_secrets, op5_licenses, op6_toxicity, op7_langid, op8_simhash, op9_topk, op10_mixing)}
 
 ORACLES: dict[str, str] = {
+    "op1_warc": "SELECT page_id, url, html, true AS digest_ok, CAST(NULL AS VARCHAR) AS problem FROM pages",
     "op4_secrets": secrets.oracle(),
+    "op9_topk": topk.oracle(),
 }

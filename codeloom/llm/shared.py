@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of letters and digits; the same class is ``[\p{L}\p{N}]+`` in SQL.
 WORD = re.compile(r"[^\W_]+")
@@ -76,7 +77,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts in arrays: 64-bit hashes, lengths, characters, and where each text's words begin.
 
-    ``hashes[splits[i]:splits[i + 1]]`` are the words of text i, in order.
+    ``hashes[splits[i]:splits[i + 1]]`` are the words of text i, in order; ``codes`` are all characters, a line
+    break between texts, and ``starts`` the words' places among them.
     """
 
     def __init__(self, texts: list[str | None]):
@@ -86,6 +88,7 @@ class Words:
         is_word = alnum[codes]
         edge = np.diff(is_word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         starts = np.flatnonzero(edge == 1)
+        self.starts, self.codes = starts, codes
         self.lengths = np.flatnonzero(edge == -1) - starts
         self.first = np.cumsum(self.lengths) - self.lengths
         self.chars = codes[is_word]
@@ -99,6 +102,30 @@ class Words:
         self.splits = np.searchsorted(starts, begin)
 
 
+    def subwords(self, pick: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the n-grams of least to most characters of the picked words with their two ends marked, the
+        number within pick of each one's word); sorted by word only within an order."""
+        n = self.lengths[pick] + 2
+        begin = np.cumsum(n) - n
+        total = int(n.sum())
+        marked = np.empty(total, np.uint64)
+        inner = np.ones(total, bool)
+        inner[begin] = inner[begin + n - 1] = False
+        marked[begin], marked[begin + n - 1] = 1, 2
+        place = np.arange(int((n - 2).sum())) - np.repeat(np.cumsum(n - 2) - (n - 2), n - 2)
+        marked[inner] = self.chars[np.repeat(self.first[pick], n - 2) + place] + np.uint64(3)
+        owner = np.repeat(np.arange(len(pick)), n)
+        left = np.repeat(begin + n, n) - np.arange(total)
+        h, hashes, owners = np.zeros(total, np.uint64), [], []
+        for order in range(1, most + 1):
+            h = h[: total - order + 1] * np.uint64(0xD6E8FEB86659FD93) + marked[order - 1 :]
+            if order >= least:
+                ok = left[: len(h)] >= order
+                hashes.append(mix(h[ok] ^ np.uint64(order)))
+                owners.append(owner[: len(h)][ok])
+        return np.concatenate(hashes), np.concatenate(owners)
+
+
 def fold(text: str) -> str:
     """Lower case, character by character where that would change the length: offsets stay valid."""
     low = text.lower()
@@ -155,6 +182,19 @@ def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def sampled(rows: DataFrame, key: str, group: str, per_group: int) -> DataFrame:
+    """About per_group rows of each value of ``group``, chosen by a hash of ``key``; twice as many at most in all.
+
+    The only bounded read in this subpackage: it gives classifiers their labelled rows.
+    """
+    counts = {r[0]: r[1] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(200).collect()}
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, per_group / n)])
+    chosen = rows.where(F.col(group).isin(list(counts)) & (F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.element_at(share, F.col(group))))
+    return chosen.limit(2 * per_group * len(counts))
+
+
 def batch_of(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """Rows of tuples as an Arrow batch."""
     cols = list(zip(*rows)) or [()] * len(schema)

@@ -1,10 +1,58 @@
-"""A corpus pipeline of five of the operators in codeloom.llm."""
+"""A corpus pipeline of five operators: from documents to a mixture of clean, distinct ones.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written as
+Parquet and read again. All but the last return the columns of documents; the last says how often the mixture
+holds each document that is left.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from codeloom.llm import decontaminate, langid, mixing, secrets, simhash
+from codeloom.llm.shared import written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier, fitted to their own ``lang`` labels, doesn't reject."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near-duplicates."""
+    return simhash.without_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages cut out; documents that are mostly benchmark go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets replaced by the name of the rule that found them."""
+    return secrets.redacted(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, copies): the sources at their target weights."""
+    return mixing.mixture(docs)
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", distinct),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("mixing", mixed),
+]
+
+#: Classifier training, SimHash and pivotal rounding have no SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
