@@ -56,14 +56,15 @@ class ExpressionError(ValueError):
     pass
 
 
-def postfix(text: str) -> tuple[list[str], int]:
-    """Shunting yard: the licence expression at the start of a lower-case text, in postfix order, and where it ends.
+def postfix(text: str, at: int = 0) -> tuple[list[str], int]:
+    """Shunting yard: the licence expression at a place of a lower-case text, in postfix order, and where it ends.
 
-    ``with`` binds tighter than ``and``, ``and`` than ``or``. The expression ends at a word that can't continue it.
+    ``with`` binds tighter than ``and``, ``and`` than ``or``. The expression ends at a word that can't continue it
+    and, since only blanks and tabs part its words, with its line.
     """
     out: list[str] = []
     stack: list[str] = []
-    at, want, depth = 0, True, 0
+    want, depth = True, 0
     while m := _TOKEN.match(text, at):
         token = m[1]
         if want:
@@ -156,7 +157,7 @@ def scan_text(text: str | None, finder: ahocorasick.Automaton, most: int) -> tup
     problem = None
     for at in tags:
         try:
-            rpn, _ = postfix(low[at : at + 2000].split("\n", 1)[0])
+            rpn, _ = postfix(low, at)
             expression, names, category = evaluate(rpn)
             found[expression] = names, category
         except ExpressionError as e:
