@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUILTINS = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "isinstance", "type", "super", "next", "iter", "enumerate", "zip", "map", "filter", "sorted", "reversed", "hasattr", "getattr", "setattr", "max", "min", "sum", "abs", "any", "all", "open", "format")
-BUILTIN_METHODS = ("append", "extend", "pop", "get", "update", "items", "keys", "values", "strip", "split", "join", "replace", "format", "startswith", "endswith", "lower", "upper", "encode", "decode", "copy", "clear", "add", "remove", "discard")
-LOGGING = ("info", "debug", "warning", "error", "critical", "exception")
+BUILTINS = (
+    "abs", "all", "any", "dict", "enumerate", "filter", "float", "format", "getattr", "hasattr", "int", "isinstance", "iter", "len", "list", "map",
+    "max", "min", "next", "open", "print", "range", "reversed", "set", "setattr", "sorted", "str", "sum", "super", "tuple", "type", "zip",
+)
+BUILTIN_METHODS = (
+    "add", "append", "clear", "copy", "decode", "discard", "encode", "endswith", "extend", "format", "get", "items", "join", "keys", "lower", "pop",
+    "remove", "replace", "split", "startswith", "strip", "update", "upper", "values",
+)
+LOGGING = ("critical", "debug", "error", "exception", "info", "warning")
 ORM_OPERATIONS = {
-    "read": ("filter", "get", "all", "values", "values_list", "first", "last", "exists", "count", "aggregate", "annotate", "select_related", "prefetch_related", "order_by", "distinct", "exclude"),
-    "write": ("create", "save", "bulk_create", "bulk_update", "update", "get_or_create", "update_or_create"),
+    "read": ("aggregate", "all", "annotate", "count", "distinct", "exclude", "exists", "filter", "first", "get", "last", "order_by", "prefetch_related", "select_related", "values", "values_list"),
+    "write": ("bulk_create", "bulk_update", "create", "get_or_create", "save", "update", "update_or_create"),
     "delete": ("delete",),
 }
 ASYNC_METHODS = {"delay": "celery_delay", "apply_async": "celery_apply_async", "s": "celery_delay", "si": "celery_delay"}

@@ -15,7 +15,7 @@ from ..functions.names import HTTP_VERBS, or_slash, orm_model, orm_operation
 
 CELERY_DECORATORS = ("celery_app.task", "shared_task", "app.task")
 CONTROLLERS = ("api_controller", "generic_api_controller")
-NINJA_ROUTES = {"route.get": "GET", "route.post": "POST", "route.patch": "PATCH", "route.put": "PUT", "route.delete": "DELETE"}
+NINJA_ROUTES = {f"route.{v}": v.upper() for v in HTTP_VERBS if v not in ("head", "options")}
 
 Detector = Callable[[DataFrame, DataFrame], DataFrame]
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 NOISE = (
-    "classmethod", "staticmethod", "property", "cached_property", "abstractmethod", "override", "deprecated", "classproperty", "dataclass", "dataclass_json", "total_ordering", "functools.wraps",
-    "functools.lru_cache", "functools.cached_property", "contextmanager", "contextlib.contextmanager", "contextlib.asynccontextmanager", "asynccontextmanager", "pytest.fixture", "pytest.mark.parametrize",
-    "typing.overload", "overload", "field_validator", "model_validator", "computed_field", "validator", "root_validator", "hybrid_property", "declared_attr", "event.listens_for", "sentry_sdk.trace",
-    "sentry_sdk.tracing.trace", "metrics.wraps", "cached_method", "lru_cache",
+    "abstractmethod", "asynccontextmanager", "cached_method", "cached_property", "classmethod", "classproperty", "computed_field",
+    "contextlib.asynccontextmanager", "contextlib.contextmanager", "contextmanager", "dataclass", "dataclass_json", "declared_attr", "deprecated",
+    "event.listens_for", "field_validator", "functools.cached_property", "functools.lru_cache", "functools.wraps", "hybrid_property", "lru_cache",
+    "metrics.wraps", "model_validator", "overload", "override", "property", "pytest.fixture", "pytest.mark.parametrize", "root_validator",
+    "sentry_sdk.trace", "sentry_sdk.tracing.trace", "staticmethod", "total_ordering", "typing.overload", "validator",
 )
 
 

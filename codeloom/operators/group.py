@@ -9,8 +9,8 @@ from ..functions.names import last_part
 from .graph import reach_counts
 
 STRUCTURAL = (
-    "endpoints", "tasks", "views", "handlers", "service", "services", "api", "routes", "routers", "commands", "signals", "receivers", "models", "schemas", "serializers", "utils", "helpers", "core", "base",
-    "mixins", "middleware", "admin", "management",
+    "admin", "api", "base", "commands", "core", "endpoints", "handlers", "helpers", "management", "middleware", "mixins", "models", "receivers",
+    "routers", "routes", "schemas", "serializers", "service", "services", "signals", "tasks", "utils", "views",
 )
 
 

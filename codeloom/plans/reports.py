@@ -17,7 +17,7 @@ if TYPE_CHECKING:
 class Provider(Protocol):
     """Something that turns a prompt into text; none comes with the engine."""
 
-    def narrate(self, system: str, user: str) -> dict: ...
+    def complete(self, prompt: str, instructions: str = "") -> dict: ...
 
 
 def _plain(row) -> dict:
@@ -132,12 +132,11 @@ def skeleton(e: Engine) -> str:
 def codebase_context(e: Engine, flows: int = 20) -> str:
     lines = [f"# {e.name}: codebase analysis", "", *_counts(e), "", "## Flows", ""]
     for i, g in enumerate(e.scan().limit(flows).collect(), 1):
-        kinds = ", ".join(f"{n} {k}" for k, n in sorted(g["types"].items(), key=lambda x: -x[1]))
+        kinds = ", ".join(f"{n} {k}" for n, k in sorted(((n, k) for k, n in g["types"].items()), key=lambda nk: -nk[0]))
         rest = f", +{g['count'] - 3} more" if g["count"] > 3 else ""
         lines += [f"### {i}. {g['group']} ({g['count']} entry points: {kinds})", f"  Endpoints: {', '.join(g['triggers'])}{rest}"]
-        if g["deepest_reachable"] > 1:
-            lines.append(f"  Deepest: {g['deepest_name']} → {g['deepest_reachable']} functions")
-        lines.append("")
+        reached = g["deepest_reachable"]
+        lines += [f"  Deepest: {g['deepest_name']} → {reached} functions", ""] if reached > 1 else [""]
     lines += ["## Entry points by type", "", *_by_type(e, 8), "## Top functions by outgoing calls", "", *_ranked(group.top_functions(e.nodes, e.edges)), "", "## Package structure", "", *_ranked(group.package_histogram(e.modules))]
     return "\n".join(lines)
 

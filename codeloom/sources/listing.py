@@ -9,7 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXCLUDED = ("__pycache__", ".git", ".venv", "venv", "node_modules", ".eggs", "dist", "build", ".tox", ".mypy_cache", "migrations", ".claude", ".cartograph")
+EXCLUDED = (
+    ".claude", ".codeloom", ".eggs", ".git", ".mypy_cache", ".tox", ".venv", "__pycache__", "build", "dist", "migrations", "node_modules", "venv",
+)
 TEST_DIRS = ("tests", "test")
 #: Extension -> language; other files are skipped.
 LANGUAGES = {".py": "python"}

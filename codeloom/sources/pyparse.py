@@ -12,19 +12,19 @@ class ParseFailure(Exception):
     """The text is not a module that this interpreter can parse."""
 
 
+def plain_name(node: ast.AST) -> str | None:
+    return node.id if isinstance(node, ast.Name) else None
+
+
 def dotted(node: ast.expr) -> str | None:
     """``a.b.c`` for names and attributes; an attribute of anything else keeps its own trailing names only."""
-    if isinstance(node, ast.Name):
-        return node.id
     names: list[str] = []
     while isinstance(node, ast.Attribute):
-        names.append(node.attr)
+        names.insert(0, node.attr)
         node = node.value
-    if not names:
-        return None
-    if isinstance(node, ast.Name):
-        names.append(node.id)
-    return ".".join(names[::-1])
+    if (own := plain_name(node)) is not None:
+        names.insert(0, own)
+    return ".".join(names) if names else None
 
 
 def receiver_of(node: ast.expr) -> str | None:
@@ -49,9 +49,9 @@ def annotation_name(node: ast.expr | None) -> str | None:
         return dotted(node)
     if isinstance(node, ast.Constant):
         return node.value if isinstance(node.value, str) else None
-    if isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name) and node.value.id == "Optional":
-        return annotation_name(node.slice)
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+    if isinstance(node, ast.Subscript):
+        return annotation_name(node.slice) if plain_name(node.value) == "Optional" else None
+    if isinstance(node, ast.BinOp) and type(node.op) is ast.BitOr:
         for side, other in ((node.right, node.left), (node.left, node.right)):
             if isinstance(side, ast.Constant) and side.value is None:
                 return annotation_name(other)
@@ -72,7 +72,8 @@ def made_by(value: ast.expr) -> tuple[str, str] | None:
 
 
 def single_target(node: ast.Assign) -> str | None:
-    return node.targets[0].id if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) else None
+    first, *others = node.targets
+    return None if others else plain_name(first)
 
 
 def constant(value: Any) -> dict[str, str]:
@@ -122,8 +123,10 @@ class Body:
             self._read_call(node)
         elif isinstance(node, ast.Assign):
             self._read_assignment(node)
-        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name) and isinstance(node.annotation, ast.Name):
-            self.types[node.target.id] = node.annotation.id
+        elif isinstance(node, ast.AnnAssign):
+            target, hint = plain_name(node.target), plain_name(node.annotation)
+            if target is not None and hint is not None:
+                self.types[target] = hint
         for child in ast.iter_child_nodes(node):
             self._read(child)
 
