@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, Words, batch_of, fold, hashed, mix, replace_column, worker_cache, words, written
+from .shared import WORD, Words, batch_of, fold, hashed, mix, parts, replace_column, worker_cache, words, written
 
 N = 10
 #: Items of fewer words are matched as a whole; items of fewer than LEAST words are too common to match.
@@ -146,7 +146,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: float
     _, grams = _grams(items, n, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             ids = batch.column(0)
             yield batch_of([(ids[i].as_py(), *row) for i, row in findings(batch.column(1).to_pylist(), grams(), max_share)], _HITS)
 
@@ -172,7 +172,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = N, max_share: flo
     _, grams = _grams(items, n, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             keep, sizes = np.ones(len(texts), bool), batch.column(length_col).to_pylist() if length_col else []
             found = list(findings(texts, grams(), max_share))
@@ -206,7 +206,7 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, max_share: float) -> Dat
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             ids = batch.column(0).to_pylist()
             for i, hashes, _ in hashed(batch.column(1).to_pylist()):
                 for size in sizes:
@@ -219,7 +219,7 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, max_share: float) -> Dat
     joined = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).alias("d").join(near.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.h = n.h")).select("d.doc_id", "d.text", "n.items", "d.h")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             rows = []
             for i, t, found, h in zip(*(c.to_pylist() for c in batch.columns)):
                 rows += [(i, *row, h) for _, row in findings([t], Grams([(x["item_id"], x["item_text"]) for x in found], n), max_share)]

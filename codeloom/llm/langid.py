@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import STEP_CHARS, Words, batch_of, pieces, sampled, steps
+from .shared import STEP_CHARS, Words, batch_of, parts, pieces, sampled, steps
 
 BUCKET_BITS = 17
 DIM = 16
@@ -185,7 +185,7 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = sent.value.detect(texts) if sent.value else ((None, 0.0, 0.0, True) for _ in texts)
             yield batch_of([(i, *f) for i, f in zip(ids, found)], _FOUND)
@@ -198,7 +198,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             found = list(sent.value.detect(texts)) if sent.value else [(None, 0.0, 0.0, True)] * len(texts)
             at = batch.schema.get_field_index(lang_col)

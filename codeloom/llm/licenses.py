@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, fold, worker_cache
+from .shared import batch_of, fold, parts, worker_cache
 
 #: Licence identifier -> how free its use is: 0 permissive, 1 weak copyleft, 2 strong copyleft, 3 non-commercial or proprietary.
 LICENSES = {
@@ -183,7 +183,7 @@ def licenses(docs: DataFrame, most: int = 0, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = worker_cache("licenses", automaton)
-        for batch in batches:
+        for batch in parts(batches, 1):
             ids = batch.column(0)
             yield batch_of([(ids[i].as_py(), *row) for i, t in enumerate(batch.column(1)) if (row := scan_text(t.as_py(), finder, most))], _FOUND)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Dfa, scan
-from .shared import batch_of, replace_column
+from .shared import batch_of, parts, replace_column
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ RULES = (
 FOUND = "doc_id long, rule string, match_no int, start int, secret string"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("rule", pa.string()), ("match_no", pa.int32()), ("start", pa.int32()), ("secret", pa.string())])
 #: Bytes that are scanned at once; a longer text is scanned by itself.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 _WORD_BYTE = np.array([chr(b).isalnum() and b < 128 or b == 95 for b in range(256)])
 
@@ -137,7 +137,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
-        for batch in batches:
+        for batch in parts(batches, 1):
             texts, ids, rows, last, no = batch.column(1).to_pylist(), batch.column(0), [], None, 0
             for i, k, a, b in scanner.find(texts):
                 no = no + 1 if last == (i, k) else 1
@@ -160,7 +160,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             by_text: dict[int, list[tuple[int, int, int]]] = {}
             for i, k, a, b in scanner.find(texts):

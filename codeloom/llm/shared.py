@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,9 @@ WORD = re.compile(r"[^\W_]+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 #: Characters that one vectorised step takes at most, so that a batch of very long texts needs no more memory than a usual one.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 300_000
+#: Bytes of text that are taken from an Arrow batch at once.
+PART_BYTES = 4 << 20
 
 
 _own: dict[str, str] = {}
@@ -182,6 +186,28 @@ def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def release() -> None:
+    """Gives memory that isn't used back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def parts(batches: Iterable[pa.RecordBatch], text: int | str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches with at most ``most`` bytes in the text column, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        total, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < batch.num_rows:
+            done = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, done + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+        if not batch.num_rows:
+            yield batch
+        release()
+
+
 def sampled(rows: DataFrame, key: str, group: str, per_group: int) -> DataFrame:
     """About per_group rows of each value of ``group``, chosen by a hash of ``key``; twice as many at most in all.
 

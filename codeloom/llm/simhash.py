@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GOLD, hashed, mix, text_hash, written
+from .shared import GOLD, hashed, mix, parts, text_hash, written
 
 BITS = 128
 MAX_DISTANCE = 9
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, hi, lo) for every row whose id isn't null and whose text isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             batch = batch.filter(batch.column(0).is_valid())
             found = list(text_signatures(batch.column(1).to_pylist()))
             both = np.frombuffer(b"".join(x for _, x in found), ">i8").astype(np.int64)

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import worker_cache
+from .shared import parts, worker_cache
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-token pattern.
@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(key, lambda: Counter(sent.value, pattern))
-        for batch in batches:
+        for batch in parts(batches, 1):
             n = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import STEP_CHARS, Words, batch_of, pieces, sampled, steps
+from .shared import STEP_CHARS, Words, batch_of, parts, pieces, sampled, steps
 
 BUCKET_BITS = 18
 ORDERS = (3, 6)
@@ -225,7 +225,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             scores = sent.value.scores(batch.column(1).to_pylist())
             yield batch_of([(i, round(float(x), 6), bool(x >= sent.value.threshold and x > 0)) for i, x in zip(batch.column(0).to_pylist(), scores)], _FOUND)
 
