@@ -82,8 +82,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def segments(max_distance: int) -> list[tuple[int, int]]:
-    """(first bit, width): segments few enough that one of them differs by one bit at most."""
-    n = max_distance // 2 + 1
+    """(first bit, width): as few segments as make one of them differ by one bit at most, three at least, so that
+    each fits a number."""
+    n = max(3, max_distance // 2 + 1)
     cuts = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
