@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from codeloom.llm import langid, mixing, secrets
+from codeloom.llm.queries import ORACLES, QUERIES
+
+from .test_decontaminate import brute as contaminated
+from .test_secrets import brute as secrets_in
+from .test_simhash import brute as duplicates
+
+
+def test_ten_queries_and_their_sql():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_agrees(same_as_oracle, name):
+    if name != "op4_secrets":  # there are none in the smallest tables; test_secrets covers the larger ones
+        same_as_oracle(QUERIES[name], ORACLES[name])
+
+
+def test_sql_of_secrets_agrees(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(ORACLES["op4_secrets"]).fetchall()
+    assert sorted(map(tuple, QUERIES["op4_secrets"](spark, "/root/testdata/sf0.01").collect())) == sorted(want) and want
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "mixing"]
+
+
+def test_every_stage_agrees_with_brute_force(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        if name == "language":
+            labels = [r["lang"] for r in docs.select("lang").collect()]
+            verdicts = langid.train([t for _, t in before], labels).detect([t for _, t in before])
+            want = {i: t for (i, t), v in zip(before, verdicts) if not v[3]}
+        elif name == "near_duplicates":
+            gone = {i for i, _ in duplicates(before)}
+            want = {i: t for i, t in before if i not in gone}
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        if name in ("language", "near_duplicates"):
+            assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+        elif name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+            found = contaminated(before, items)
+            texts = {r["doc_id"]: r["text"] for r in out.collect()}
+            assert set(texts) == {i for i, _ in before if found.get(i, [""])[-1] != "drop"}
+            assert all(texts[i] == t for i, t in before if i not in found)
+            assert not contaminated(texts.items(), items) and found
+        elif name == "secrets":
+            texts = {r["doc_id"]: r["text"] for r in out.collect()}
+            hit = {r[0] for r in secrets_in(before)}
+            assert set(texts) == {i for i, _ in before} and all(texts[i] == t for i, t in before if i not in hit)
+            assert not secrets_in(texts.items())
+        if name != "mixing":
+            assert out.columns == columns
+        kept[name] = out.count()
+        docs = out
+    assert kept["mixing"] == kept["secrets"] == kept["decontamination"] <= kept["near_duplicates"] < kept["language"]
+    assert {"doc_id", "copies"} <= set(docs.columns) and Counter(r["copies"] for r in docs.collect())
+
+
+def test_run_gives_the_last_stage(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "source", "copies"] and out.count() > 100
+
+
+def test_run_survives_an_empty_table(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clean_documents_stay(spark, sf_dir):
+    """The language stage keeps nearly all prose."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = docs.where("n_chars > 300")
+    assert corpus_pipeline.known_language(spark, docs, sf_dir).where("n_chars > 300").count() > 0.97 * prose.count()
+    assert langid.TRAINING_ROWS and mixing.LEAF and secrets.RULES

@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from codeloom.llm import secrets as s
+from codeloom.llm.automaton import Dfa, scan
+
+from .helpers import DOCS, documents, prose, rows
+
+PLANTED = {
+    "aws-access-key": "AKIA" + "ABCDEFGH12345678",
+    "github-token": "ghp_" + "a1B2" * 9,
+    "gitlab-token": "glpat-" + "x" * 20,
+    "google-api-key": "AIza" + "S" * 35,
+    "slack-token": "xoxb-12345678-abcdefgh-ABCD1234",
+    "stripe-key": "sk_live_" + "q" * 24,
+    "npm-token": "npm_" + "Z9" * 18,
+    "json-web-token": "eyJhbGci.eyJzdWIi.c2ln",
+    "private-key": "-----BEGIN RSA PRIVATE KEY-----",
+    "url-password": "https://user:pass@",
+    "assigned-secret": "my_api_key = 'abcdefghijklmnop0123'",
+}
+
+
+def brute(texts):
+    """Every rule by Python's own engine."""
+    return sorted((i, r.name, no, m.start(), m[0]) for i, t in texts if t for r in s.RULES for no, m in enumerate(re.finditer(r.regex(), t, re.ASCII), 1))
+
+
+def test_planted_secrets_in_odd_places(spark):
+    texts = [f"{prose(i, 30)} {secret} {prose(i + 50, 5)} ü {secret}\n{secret}" for i, secret in enumerate(PLANTED.values())]
+    texts += [f"ü{x}ü" for x in PLANTED.values()] + [f"a{x}a" for x in PLANTED.values()] + [x * 2 for x in PLANTED.values()]
+    texts += [None, "", "AKIA", prose(1, 300_000) + " " + PLANTED["aws-access-key"], "ghp_" * 1000, "-----BEGIN PRIVATE KEY-----" * 3]
+    docs = documents(spark, texts)
+    got = sorted(tuple(r) for r in s.secrets(docs).collect())
+    assert got == brute(enumerate(texts, 1))
+    assert {r[1] for r in got} == set(PLANTED)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PLANTED.values(), "AKIA", "ghp_", "eyJ", ".", "-", " ", "_", "a", "\n", "'", "=", ":", "é", "token", "password: \"0123456789abcdef\""]), max_size=12).map("".join))
+def test_any_mixture(text):
+    got = [(k, a, b) for _, k, a, b in s.compiled().find([text])]
+    assert sorted(got) == sorted((k, *m.span()) for k, r in enumerate(s.RULES) for m in re.finditer(r.regex(), text, re.ASCII))
+
+
+def test_one_automaton_for_all_rules():
+    scanner = s.compiled()
+    assert scanner.all.next.dtype == np.int32 and len(scanner.all.next) == scanner.all.states * scanner.all.width
+    assert scanner.all.states <= scanner.all.subsets
+    data = np.frombuffer((prose(3, 5000) + " " + " ".join(PLANTED.values())).encode(), np.uint8)
+    one = scan(scanner.all, data, lanes=1)
+    for lanes in (2, 64, 4096):
+        assert (scan(scanner.all, data, lanes=lanes) == one).all()
+
+
+@pytest.mark.parametrize("pattern", ["a|b", "(?:ab)*c", "a{2,4}b?", "[^a-c]+z", "(?i)aB[0-9]", r"\d{3}-\w+", "a(?:b|cd)+e"])
+def test_automaton_is_minimal_and_right(pattern):
+    dfa = Dfa([pattern], search=False)
+    for text in ["", "a", "b", "ab", "ababc", "c", "aab", "aaaa", "xyz", "ab1", "AB7", "123-x", "abcde", "abe", "acdbe", "zz"]:
+        state = 0
+        for byte in text.encode():
+            state = int(dfa.next[state + dfa.classes[byte]])
+        assert bool(dfa.accepts[state // dfa.width]) == bool(re.fullmatch(pattern, text, re.ASCII)), text
+    seen = {(bool(dfa.accepts[k]), tuple(row)) for k, row in enumerate(dfa.next.reshape(dfa.states, -1).tolist())}
+    assert len(seen) == dfa.states
+
+
+@pytest.mark.parametrize("pattern", ["(a", "a{3,1}", "*a", "a)", "(?=a)", "\\q", "a{5000}"])
+def test_bad_patterns(pattern):
+    with pytest.raises(ValueError):
+        Dfa([pattern], search=False)
+
+
+def test_redaction(spark):
+    texts = [f"x {PLANTED['aws-access-key']} y", "clean", None, "", f"{PLANTED['npm-token']}" * 1, "u https://a:b@h token = 'https123456789012345'"]
+    out = [tuple(r) for r in s.redacted(documents(spark, texts)).orderBy("doc_id").select("text", "n_chars").collect()]
+    assert [t for t, _ in out][:5] == ["x [SECRET:aws-access-key] y", "clean", None, "", "[SECRET:npm-token]"]
+    assert all(n is None if t is None else n == len(t) for t, n in out)
+    assert not brute(enumerate(t for t, _ in out))
+
+
+def test_nulls_repeats_clashing_names_and_no_rows(spark):
+    data = [(None, PLANTED["npm-token"], "a"), (None, PLANTED["npm-token"], "a"), (1, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, rule string").selectExpr("*", "'s' AS secret", "1 AS start")
+    assert rows(s.secrets(docs), "doc_id", "rule") == [(None, "npm-token")] * 2
+    assert rows(s.redacted(docs), "doc_id", "text", "secret", "start") == [(1, None, "s", 1), (None, "[SECRET:npm-token]", "s", 1), (None, "[SECRET:npm-token]", "s", 1)]
+    empty = spark.createDataFrame([], DOCS)
+    assert s.secrets(empty).count() == s.redacted(empty).count() == 0
+
+
+def test_whole_query_agrees_with_brute_force(spark):
+    from codeloom.llm.queries import op4_secrets
+
+    sf_dir = "/root/testdata/sf0.01"
+    texts = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in op4_secrets(spark, sf_dir).collect())
+    assert got == brute(texts) and got
