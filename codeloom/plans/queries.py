@@ -352,9 +352,9 @@ def branch_call_lookup(v: View) -> DataFrame:
     return graph.branch_callee(v.edges())
 
 
-@query(_WITH + "SELECT qualified_name, type FROM nodes WHERE contains(lower(qualified_name), 'china.cust') ORDER BY reg_ord LIMIT 20")
+@query(_WITH + "SELECT qualified_name, type FROM nodes WHERE contains(lower(qualified_name), 'nation_1.cust') ORDER BY reg_ord LIMIT 20")
 def search_limit(v: View) -> DataFrame:
-    return graph.search(v.nodes(), "CHINA.Cust", 20).select("qualified_name", "type")
+    return graph.search(v.nodes(), "NATION_1.Cust", 20).select("qualified_name", "type")
 
 
 @query(f"SELECT type, trigger, split_part(node_id, '.', 3) AS function FROM ({_ENTRIES}) ORDER BY type, trigger, node_id")
