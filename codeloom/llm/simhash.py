@@ -5,8 +5,8 @@ weights are heavy-tailed (an inverse power of an exponential variable drawn from
 with rate proportional to the word's length), not +-1: with +-1, a copy with 3 % of its words replaced
 differs in about 8 % of the bits, with heavy tails in about 3 %, so that a small radius finds it.
 
-Two signatures within ``max_distance`` bits have, when cut into ``max_distance // 2 + 1`` segments, a segment
-in which they differ in one bit at most. For each bit of each segment, the segment without that bit is a
+Two signatures within ``max_distance`` bits have, when cut into ``max_distance // 2 + 1`` segments or more, a
+segment in which they differ in one bit at most. For each bit of each segment, the segment without that bit is a
 key; segments that differ in one bit at most share a key. Signatures are joined on the keys and verified.
 """
 
