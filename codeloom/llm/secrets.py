@@ -20,12 +20,16 @@ class Rule:
     """A pattern of ``automaton``'s syntax.
 
     With ``bounded``, it must not follow a letter, digit or underscore; with ``closed``, none may follow it.
+    Patterns without ``closed`` take all signs that a secret may go on with, or name the sign that ends it.
+    ``sign``, if given, is a beginning of every match that the automaton of all rules looks for: secrets whose
+    bodies hold signs after which another may start would need too many states there.
     """
 
     name: str
     pattern: str
     bounded: bool = True
     closed: bool = True
+    sign: str | None = None
 
     def regex(self) -> str:
         """The same rule for a leftmost-first engine; rules are written so that both find the same matches."""
@@ -33,18 +37,37 @@ class Rule:
         return flag + (r"\b" if self.bounded else "") + f"(?:{body})" + (r"\b" if self.closed else "")
 
 
+def _with_digit(other: str, least: int) -> str:
+    """A pattern for ``least`` or more digits and signs of a class without digits, at least one of them a digit."""
+    both = f"[0-9{other[1:]}"
+    out = f"{other}*[0-9]{both}*"
+    for n in range(least - 1):
+        out = f"(?:[0-9]{both}{{{n + 1},}}|{other}{out})"
+    return out
+
+
+#: A private key's text through its END line; without one, its header and the base64 lines after it.
+_PEM = "-----{} (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = "(?:[ \\t\\r\\n]|\\\\[nr])"
+_KEY_REST = f"(?:(?:-{{0,4}}[^-])*{_PEM.format('END')}|(?:{_BREAK}*[A-Za-z0-9+/=]{{16,}})+(?:{_BREAK}+[A-Za-z0-9+/=]{{1,15}})?)?"
+#: A name that ends like one of a secret; a quoted value of 16 signs, or 8 with a digit; an unquoted one of 16 with a digit.
+_NAME = "(?i)[a-z0-9_]*(?:token|secret|password|passwd|(?:api|access|secret|private)[_-]?key)[\"']?"
+_TO = "(?::=|=>|[:=])"
+_QUOTED = f"[\"'](?:[!#-&(-~]{{16,}}|{_with_digit('[!#-&(-/:-~]', 8)})[\"']"
+_BARE = f"{_with_digit('[a-z_/+.~%!$^*@-]', 16)}=?=?"
+
 RULES = (
     Rule("aws-access-key", "(?:AKIA|ASIA)[0-9A-Z]{16}"),
     Rule("github-token", "gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("gitlab-token", "glpat-[A-Za-z0-9_]{20}"),
-    Rule("google-api-key", "AIza[0-9A-Za-z_]{35}"),
+    Rule("gitlab-token", "glpat-[A-Za-z0-9_-]{20,}(?:\\.[0-9a-z]{2}\\.?[0-9a-z]{7})?", closed=False, sign="glpat-"),
+    Rule("google-api-key", "AIza[0-9A-Za-z_-]{35,}", closed=False, sign="AIza"),
     Rule("slack-token", "xox[abprs]-[0-9A-Za-z]{8,}(?:-[0-9A-Za-z]{8,})*"),
     Rule("stripe-key", "(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{24}"),
     Rule("npm-token", "npm_[A-Za-z0-9]{36}"),
-    Rule("json-web-token", "eyJ[A-Za-z0-9_]+\\.eyJ[A-Za-z0-9_]+\\.[A-Za-z0-9_]+"),
-    Rule("private-key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", bounded=False, closed=False),
+    Rule("json-web-token", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", closed=False),
+    Rule("private-key", _PEM.format("BEGIN") + _KEY_REST, bounded=False, closed=False, sign=_PEM.format("BEGIN")),
     Rule("url-password", "(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_]+:[A-Za-z0-9_]+@", closed=False),
-    Rule("assigned-secret", "(?i)(?:[a-z]+_)*(?:token|secret|password|passwd|api_?key|access_?key)[\"']?\\s*[:=]\\s*[\"'][A-Za-z0-9_/+]{16,}=?=?[\"']", closed=False),
+    Rule("assigned-secret", f"{_NAME}(?:\\s*{_TO}\\s*{_QUOTED}|[ \\t]*{_TO}[ \\t]*{_BARE})", closed=False, sign=f"{_NAME}\\s*[:=]"),
 )
 
 FOUND = "doc_id long, rule string, match_no int, start int, secret string"
@@ -60,12 +83,12 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = Dfa([r.pattern for r in rules], search=True, bounded=[r.bounded for r in rules])
+        self.all = Dfa([r.sign or r.pattern for r in rules], search=True, bounded=[r.bounded for r in rules])
         self.each = [Dfa([r.pattern], search=False) for r in rules]
         self._accepting = np.array([bool(a) for a in self.all.accepts])
 
     def flagged(self, texts: list[bytes]) -> dict[int, int]:
-        """Text number -> a bit for each rule with a match in it, by one pass over all bytes."""
+        """Text number -> a bit for each rule that may have a match in it, by one pass over all bytes."""
         data = np.frombuffer(b"\xff".join(texts), np.uint8)
         if not len(data):
             return {}
