@@ -6,7 +6,8 @@ by stochastic gradient descent in numpy. Since the mean is linear, embeddings ti
 small table, and a text needs only sums over that table.
 
 A text is rejected when its confidence, or the share of its features that training has seen, is below what
-held-out texts of its length reach (all but QUANTILE of them, less a margin).
+held-out texts reach: all but QUANTILE of them and of runs of their words of its length, and no more than all but
+QUANTILE of whole held-out texts of any length from 16 words.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ DIM = 16
 ORDERS = (1, 4)
 #: Labelled rows that are read for training and calibration, for each language.
 TRAINING_ROWS = 200
-QUANTILE = 0.001
-#: Margins below the quantiles: a clean text in a known language must hardly ever be rejected.
-CONFIDENCE_MARGIN, KNOWN_MARGIN = 0.5, 0.7
+#: Share of held-out texts that confidence, and known share, may reject.
+QUANTILE = 0.005
 _PIECE_WORDS = 24
 _CLASSES = 12  # of text lengths, by powers of two
+_WHOLE = 4
 
 FOUND = "doc_id long, language string, confidence double, known double, rejected boolean"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("confidence", pa.float64()), ("known", pa.float64()), ("rejected", pa.bool_())])
@@ -150,7 +151,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
 
 
 def _calibrated(model: Model, texts: list[str], rng: np.random.Generator) -> np.ndarray:
-    """By class of length, a margin below what all but QUANTILE of held-out texts, and of runs of their words, reach."""
+    """By class of length, what all but QUANTILE of held-out texts reach.
+
+    Whole texts and runs of their words give it. Long classes have few of either, so that their worst one would be the
+    threshold: none is above what all but QUANTILE of the whole texts of 1 << _WHOLE words or more, together, reach.
+    """
     runs = list(texts)
     for text in texts:
         tokens = text.split()
@@ -161,11 +166,15 @@ def _calibrated(model: Model, texts: list[str], rng: np.random.Generator) -> np.
     least = np.zeros((_CLASSES, 2))
     if runs:
         _, p, known, c = model.judged(model.sums(runs))
+        reached = np.column_stack([p, known])
         for k in range(_CLASSES):
             if (c == k).any():
-                least[k] = np.quantile(p[c == k], QUANTILE) * CONFIDENCE_MARGIN, np.quantile(known[c == k], QUANTILE) * KNOWN_MARGIN
+                least[k] = np.quantile(reached[c == k], QUANTILE, axis=0)
             elif k:
                 least[k] = least[k - 1]
+        whole = np.flatnonzero(c[: len(texts)] >= _WHOLE)
+        if len(whole):
+            least = np.minimum(least, np.quantile(reached[whole], QUANTILE, axis=0))
     return least
 
 

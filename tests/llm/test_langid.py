@@ -89,3 +89,14 @@ def test_whole_query(spark, tables):
     assert set(found) == {d["doc_id"] for d in docs}
     long = [d for d in docs if len(d["text"].split()) >= 50]
     assert sum(found[d["doc_id"]]["language"] == d["lang"] for d in long) / len(long) > 0.97
+
+
+@pytest.mark.parametrize("unknown", ["de", "en", "es", "fr"])
+def test_a_language_left_out_of_training_is_rejected(tables, unknown):
+    _, _, docs = tables
+    long = [d for d in docs if len(d["text"].split()) >= 20]
+    some = [d for d in docs if d["doc_id"] % 2 == 0 and d["lang"] != unknown]
+    model = langid.train([d["text"] for d in some], [d["lang"] for d in some])
+    lost = [f[3] for f in model.detect([d["text"] for d in long if d["doc_id"] % 2 and d["lang"] != unknown])]
+    away = [f[3] for f in model.detect([d["text"] for d in long if d["lang"] == unknown])]
+    assert np.mean(away) > 0.95 and np.mean(lost) < 0.05
