@@ -46,6 +46,9 @@ PHRASES = {
 
 _BY_LOW = {i.lower(): i for i in LICENSES} | ALIASES
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
+#: What begins and ends the lines of comments.
+_SIGNS, _END_SIGNS = " \t*#/;%>|!", " \t*#/|"
+_COMMENT_WORD = re.compile(r"(?:rem|dnl)[ \t]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 FOUND = "doc_id long, n_tags int, n_notices int, expression string, licenses string, category string, allowed boolean, problem string"
@@ -134,18 +137,31 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
+def joined(low: str) -> str:
+    """The text as one line: comment signs around lines dropped, runs of white space made one space."""
+    lines = []
+    for line in low.splitlines():
+        line = line.strip().removeprefix("<!--").lstrip(_SIGNS)
+        if line.startswith("--"):
+            line = line.lstrip("- ")
+        elif m := _COMMENT_WORD.match(line):
+            line = line[m.end() :]
+        lines.append(line.rstrip(_END_SIGNS))
+    return " ".join(" ".join(lines).split())
+
+
 def scan_text(text: str | None, finder: ahocorasick.Automaton, most: int) -> tuple | None:
     """(tags, notices, expression, licences, category, allowed, problem) of one text, or None if it names no licence."""
     if not text:
         return None
     low = fold(text)
     flat = low.translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "})
-    tags, notices, last = [], [], (-1, -1)
-    for end, (word, name) in finder.iter(flat):
+    tags, notices, last = [end + 1 for end, (_, name) in finder.iter(flat) if name is None], [], (-1, -1)
+    for end, (word, name) in finder.iter(joined(low)):
         start = end - len(word) + 1
         if name is None:
-            tags.append(end + 1)
-        elif start > last[1]:
+            continue
+        if start > last[1]:
             notices.append(name)
             last = start, end
         elif start <= last[0]:  # the longer of two phrases that end together or later
@@ -177,7 +193,7 @@ def licenses(docs: DataFrame, most: int = 0, id_col: str = "doc_id", text_col: s
     expression holds its distinct expressions, sorted, joined by ``; ``; category is the strictest of them;
     allowed is whether that is within ``most`` (0 permissive to 3) and every tag's expression could be read.
     An expression that can't be read gives ``problem``; if there's no other, expression is null. Line breaks in
-    notices count as spaces; a tag's expression ends with its line. Null and empty texts name none; null ids
+    notices, with the indentation and comment signs after them, and runs of white space count as one space; a tag's expression ends with its line. Null and empty texts name none; null ids
     and repeated rows are kept; other columns are not read.
     """
 

@@ -92,3 +92,16 @@ def test_whole_query_agrees_with_brute_force(spark):
         tags, notices = want[i]
         assert (r["n_tags"], r["n_notices"]) == (tags, len(notices))
         assert set(notices) <= set((r["licenses"] or "").split(","))
+
+
+GPL = "under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+
+
+@pytest.mark.parametrize("begin", ["", "    ", "\t", " * ", "# ", "// ", ";; ", "-- ", "dnl ", "REM ", "% ", "> "])
+@pytest.mark.parametrize("end", ["\n", "\r\n", " \n\n", " *\n"])
+def test_notices_over_several_lines(begin, end):
+    finder = li.automaton()
+    for text, name in ((GPL, "GPL-2.0-or-later"), (BSD, "BSD-3-Clause"), ("the  MIT \t License (MIT)", "MIT")):
+        found = li.scan_text("".join(begin + line + end for line in ["x", *text.split("\n"), "SPDX-License-Identifier:  ISC", "y"]), finder, 0)
+        assert found[:2] == (1, 1) and found[3] == ",".join(sorted([name, "ISC"]))
