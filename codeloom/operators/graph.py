@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import Levels, written
 
 NOISE = (
     "abstractmethod", "asynccontextmanager", "cached_method", "cached_property", "classmethod", "classproperty", "computed_field",
@@ -53,26 +54,50 @@ def discover(nodes: DataFrame, edges: DataFrame, known: DataFrame, noise: tuple[
     )
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, node, distance) of all nodes within depth of each root, the root included at 0.
+class Numbered:
+    """A graph whose nodes are numbers: joins and distinct steps then shuffle two longs a row instead of two names.
 
-    One join a level, from the nodes that the level before met first; each level is written, so no lineage grows.
+    ``nodes`` is (node, id), ``steps`` the distinct (caller, callee) as numbers, ``roots`` (root, id). A root that no
+    edge touches has a number too.
     """
-    step = edges.select("caller", "callee").distinct()
-    found = written(roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("distance")), "reach")
-    frontier = found
-    for level in range(1, depth + 1):
-        new = frontier.join(step, frontier.node == step.caller).select("root", F.col("callee").alias("node")).distinct()
-        frontier = written(new.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(level)), "reach")
-        if not frontier.limit(1).count():
-            break
-        found = found.unionByName(frontier)
-    return found
+
+    def __init__(self, edges: DataFrame, roots: DataFrame):
+        pairs = edges.select("caller", "callee").distinct()
+        start = roots.select(F.col(roots.columns[0]).alias("node")).where("node IS NOT NULL").distinct()
+        names = pairs.select(F.col("caller").alias("node")).unionAll(pairs.select("callee")).unionAll(start).where("node IS NOT NULL").distinct()
+        # written with its numbers: a task that runs again can't number anew
+        self.nodes = written(names.withColumn("id", F.monotonically_increasing_id()), "node-numbers")
+        a, b = (self.nodes.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id")) for x in ("caller", "callee"))
+        self.steps = written(pairs.join(a, "caller").join(b, "callee").select(F.col("caller_id").alias("caller"), F.col("callee_id").alias("callee")), "steps")
+        self.roots = self.nodes.join(start, "node", "left_semi").select(F.col("node").alias("root"), "id")
+
+    def reach(self, depth: int) -> DataFrame:
+        """(root, node, distance) in numbers, written.
+
+        One join a level, from the nodes that the level before met first.
+        """
+        levels = Levels("reach")
+        last = levels.add(self.roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("distance")))
+        for level in range(1, depth + 1):
+            new = last.join(self.steps, last.node == self.steps.caller).select("root", F.col("callee").alias("node")).distinct()
+            last = levels.add(new.join(levels.table().select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(level)))
+            if not last.limit(1).count():
+                break
+        return levels.closed()
+
+
+def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, node, distance) of all nodes within depth of each root, the root included at 0."""
+    g = Numbered(edges, roots)
+    near = g.reach(depth).withColumnRenamed("root", "root_id").withColumnRenamed("node", "id")
+    return near.join(g.nodes, "id").drop("id").join(g.roots.withColumnRenamed("id", "root_id"), "root_id").select("root", "node", "distance")
 
 
 def reach_counts(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(root, reachable), the root counted."""
-    return reach(edges, roots, depth).groupBy("root").agg(F.count("*").alias("reachable"))
+    g = Numbered(edges, roots)
+    counts = g.reach(depth).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reachable"))
+    return counts.join(g.roots, "id").select("root", "reachable")
 
 
 def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -82,12 +107,12 @@ def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     path), ``depth`` at the last level where edges go on, else null. Their number grows exponentially with depth.
     """
     step = edges.select("caller", "callee", "edge_ord")
+    levels = Levels("paths")
     walk = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.array("root").alias("path"), F.array().cast(f"array<{edges.schema['edge_ord'].dataType.simpleString()}>").alias("steps"), F.lit(0).alias("level"), F.lit(False).alias("closed"))
-    out = None
     for level in range(1, depth + 1):
         last = walk.where("NOT closed").withColumn("caller", F.element_at("path", -1))
-        walk = written(last.join(step, "caller").select("root", F.concat("path", F.array("callee")).alias("path"), F.concat("steps", F.array("edge_ord")).alias("steps"), F.lit(level).alias("level"), F.array_contains("path", F.col("callee")).alias("closed")), "paths")
-        out = walk if out is None else out.unionByName(walk)
+        walk = levels.add(last.join(step, "caller").select("root", F.concat("path", F.array("callee")).alias("path"), F.concat("steps", F.array("edge_ord")).alias("steps"), F.lit(level).alias("level"), F.array_contains("path", F.col("callee")).alias("closed")))
+    out = levels.table()
     more = edges.select(F.col("caller").alias("last")).distinct().withColumn("goes_on", F.lit(True))
     out = out.withColumn("last", F.element_at("path", -1)).join(more, "last", "left")
     return out.select("root", "path", "steps", "level", F.when(F.col("closed"), "cycle").when((F.col("level") == depth) & F.col("goes_on"), "depth").alias("ends"))
@@ -97,42 +122,73 @@ def dfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, seq, edge_ord, caller, callee) in the order of a depth-first walk with one set of visited nodes.
 
     The walk expands a node once, with the depth that is left where it first enters it, so it may see less than the
-    breadth-first set does. Each root's subgraph within depth, which holds all that the walk sees, goes to one
-    Python call.
+    breadth-first set does. A root's neighbourhood within depth goes to one task, as numbers: a row for each node
+    with its edges in order. That much of a hub must fit in one worker's memory; nothing else is gathered.
     """
-    near = reach(edges, roots, max(0, depth - 1))
-    sub = near.join(edges.select("edge_ord", "caller", "callee"), near.node == edges.caller).select("root", "edge_ord", "caller", "callee")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_o=pdf["edge_ord"].map(_plain)).sort_values("_o", kind="stable")
-        out: dict[str, list[int]] = {}
-        for at, (caller, callee) in enumerate(zip(pdf["caller"], pdf["callee"])):
-            out.setdefault(caller, []).append(at)
-        root, targets, seen, order = pdf["root"].iloc[0], pdf["callee"].tolist(), set(), []
-        stack: list[Iterator[int]] = []
-        if depth > 0:
-            seen.add(root)
-            stack.append(iter(out.get(root, ())))
-        while stack:
-            at = next(stack[-1], None)
-            if at is None:
-                stack.pop()
-                continue
-            order.append(at)
-            if len(stack) < depth and targets[at] not in seen:
-                seen.add(targets[at])
-                stack.append(iter(out.get(targets[at], ())))
-        got = pdf.iloc[order].drop(columns="_o").reset_index(drop=True)
-        got.insert(1, "seq", range(len(got)))
-        return got
-
-    kind = edges.schema["edge_ord"].dataType.simpleString()
-    return sub.groupBy("root").applyInPandas(walk, f"root string, seq int, edge_ord {kind}, caller string, callee string")
-
-
-def _plain(x):
-    """A struct as something that sorts."""
-    return tuple(x.values()) if isinstance(x, dict) else tuple(x) if isinstance(x, (list, tuple)) else x
+    g = Numbered(edges, roots)
+    near = g.reach(max(0, depth - 1)).select("root", F.col("node").alias("caller"))
+    a, b = (g.nodes.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id")) for x in ("caller", "callee"))
+    # edges get numbers in their order within a caller's list
+    known = written(edges.select("edge_ord", "caller", "callee").join(a, "caller").join(b, "callee").withColumn("edge", F.monotonically_increasing_id()), "edge-numbers")
+    lists = known.groupBy(F.col("caller_id").alias("caller")).agg(F.array_sort(F.collect_list(F.struct("edge_ord", "edge", F.col("callee_id").alias("to")))).alias("x"))
+    lists = lists.select("caller", F.transform("x", lambda x: x["edge"]).alias("edges"), F.transform("x", lambda x: x["to"]).alias("to"))
+    sub = near.join(lists, "caller").select("root", "caller", "edges", "to").repartition("root").sortWithinPartitions("root")
+    walked = sub.mapInArrow(_walks(depth), "root long, seq int, edge long")
+    named = walked.join(known.select("edge", "edge_ord", "caller", "callee"), "edge")
+    return named.join(g.roots.select(F.col("id").alias("root_id"), F.col("root").alias("name")), F.col("root") == F.col("root_id")).select(F.col("name").alias("root"), "seq", "edge_ord", "caller", "callee")
+
+
+def _walk(root: int, edges: dict[int, list[int]], to: dict[int, list[int]], depth: int) -> list[int]:
+    """The edges' numbers in the order of the walk."""
+    order: list[int] = []
+    if depth <= 0:
+        return order
+    seen = {root}
+    stack = [iter(zip(edges.get(root, ()), to.get(root, ())))]
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            continue
+        order.append(step[0])
+        at = step[1]
+        if len(stack) < depth and at not in seen:
+            seen.add(at)
+            if at in edges:
+                stack.append(iter(zip(edges[at], to[at])))
+    return order
+
+
+def _walks(depth: int):
+    """Rows (root, caller, edges, to) that come root by root -> (root, seq, edge)."""
+    names = ["root", "seq", "edge"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, edges, to, done = None, {}, {}, []
+        waiting = 0
+
+        def batch() -> pa.RecordBatch:
+            sizes = [len(o) for _, o in done]
+            out = [np.repeat([r for r, _ in done], sizes).astype(np.int64), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)]), np.fromiter((x for _, o in done for x in o), np.int64, sum(sizes))]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+
+        for b in batches:
+            for r, caller, e, t in zip(*(c.to_pylist() for c in b.columns)):
+                if r != root:
+                    if root is not None:
+                        done.append((root, _walk(root, edges, to, depth)))
+                        waiting += len(done[-1][1])
+                    root, edges, to = r, {}, {}
+                edges[caller], to[caller] = e, t
+                if waiting > 50_000:
+                    yield batch()
+                    waiting = 0
+        if root is not None:
+            done.append((root, _walk(root, edges, to, depth)))
+        yield batch()
+
+    return run
 
 
 def trace(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -169,11 +225,12 @@ def trace_metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def node_degree(edges: DataFrame, root: str | Column | None = None, most: int | None = None) -> DataFrame:
-    """(node, degree) by edges at either end, the root first, then most edges first."""
+    """(node, degree) by edges at either end. With ``most``, that many of them, the root first, then most edges
+    first; without it all, in no order."""
     ends = edges.select(F.col("caller").alias("node")).unionAll(edges.select(F.col("callee").alias("node")))
     ranked = ends.groupBy("node").agg(F.count("*").alias("degree"))
     order = ([F.col("node") != root] if root is not None else []) + [F.desc("degree"), F.col("node")]
-    return ranked.orderBy(*order).limit(most) if most else ranked.orderBy(*order)
+    return ranked.orderBy(*order).limit(most) if most else ranked
 
 
 def branch_callee(edges: DataFrame) -> DataFrame:

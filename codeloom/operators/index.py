@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import ancestors, last_part, parent, suffixes
 from ..sources.parse import Tables
-from ..storage import written
-
-#: Instances of instances are followed so often; cycles stay unresolved.
-INSTANCE_ROUNDS = 5
-#: Bases of bases are followed so far.
-MRO_LEVELS = 30
+from ..storage import Levels, discard, written
 
 
 def last_value(rows: DataFrame, keys: list[str], value: str | Column, order: Column) -> DataFrame:
@@ -49,7 +44,8 @@ def resolve_imports(imports: DataFrame, functions: DataFrame, module_types: Data
 
     In order: a function, method or class of that name; the name as a module or class with functions below it;
     the module's first function whose last part is that name; an instance at the module's top level, by its type
-    there or by the import that brings the type.
+    there or by the import that brings the type. Instances of instances are followed until a round finds nothing
+    new: a chain may be of any length, and a cycle stays unresolved.
     """
     names = functions.select("qualified_name").distinct()
     known = names.select(F.explode(F.concat(F.array("qualified_name"), ancestors(F.col("qualified_name")))).alias("candidate")).distinct().withColumn("is_known", F.lit(True))
@@ -62,7 +58,7 @@ def resolve_imports(imports: DataFrame, functions: DataFrame, module_types: Data
     rows = rows.withColumn("typed", F.when(F.col("target").isNull(), F.concat("base", F.lit("."), "type_name"))).join(own, "typed", "left")
     rows = rows.withColumn("target", F.coalesce("target", F.when(F.col("is_typed"), F.col("typed")))).drop("typed", "is_typed")
     rows = written(rows, "imports")
-    for _ in range(INSTANCE_ROUNDS):
+    while True:
         waiting = rows.where("target IS NULL AND type_name IS NOT NULL")
         if not waiting.limit(1).count():
             break
@@ -75,7 +71,8 @@ def resolve_imports(imports: DataFrame, functions: DataFrame, module_types: Data
         found = written(found, "instances")
         if not found.limit(1).count():
             break
-        rows = written(rows.join(found, ["file_path", "import_ord"], "left").withColumn("target", F.coalesce("target", "new")).drop("new"), "imports")
+        old, rows = rows, written(rows.join(found, ["file_path", "import_ord"], "left").withColumn("target", F.coalesce("target", "new")).drop("new"), "imports")
+        discard(old, found)
     return rows.select("file_path", "module_path", "import_ord", "local_name", "target")
 
 
@@ -96,23 +93,22 @@ def hierarchy(classes: DataFrame, class_bases: DataFrame, resolved: DataFrame) -
     return rows.select(F.col("qualified_name").alias("class"), "base_ord", F.coalesce("local", "imported").alias("base")).where("base IS NOT NULL")
 
 
-def mro(bases: DataFrame, levels: int = MRO_LEVELS) -> DataFrame:
-    """(class, ancestor, level, path): every ancestor where breadth-first search meets it first.
+def mro(bases: DataFrame) -> DataFrame:
+    """(class, ancestor, level, path): every ancestor where breadth-first search meets it first, however far up.
 
     path holds the ordinals of the bases on the way; (level, path) is the search's order. Cycles end because an
     ancestor that was met isn't followed again.
     """
     step = bases.select(F.col("class").alias("ancestor"), F.col("base").alias("up"), F.col("base_ord"))
-    found = written(bases.groupBy("class", F.col("base").alias("ancestor")).agg(F.min(F.array("base_ord")).alias("path")).withColumn("level", F.lit(1)), "mro")
-    frontier = found
-    for level in range(2, levels + 1):
-        new = frontier.join(step, "ancestor").select("class", F.col("up").alias("ancestor"), F.concat("path", F.array("base_ord")).alias("path"))
-        new = new.groupBy("class", "ancestor").agg(F.min("path").alias("path")).withColumn("level", F.lit(level)).join(found.select("class", "ancestor"), ["class", "ancestor"], "left_anti")
-        frontier = written(new.select("class", "ancestor", "path", "level"), "mro")
-        if not frontier.limit(1).count():
-            break
-        found = found.unionByName(frontier)
-    return found
+    levels = Levels("mro")
+    last = levels.add(bases.groupBy("class", F.col("base").alias("ancestor")).agg(F.min(F.array("base_ord")).alias("path")).withColumn("level", F.lit(1)))
+    level = 1
+    while last.limit(1).count():
+        level += 1
+        new = last.join(step, "ancestor").select("class", F.col("up").alias("ancestor"), F.concat("path", F.array("base_ord")).alias("path"))
+        new = new.groupBy("class", "ancestor").agg(F.min("path").alias("path")).withColumn("level", F.lit(level)).join(levels.table().select("class", "ancestor"), ["class", "ancestor"], "left_anti")
+        last = levels.add(new.select("class", "ancestor", "path", "level"))
+    return levels.closed()
 
 
 def first_inherited(ancestry: DataFrame, methods: DataFrame) -> DataFrame:
