@@ -5,17 +5,17 @@ from __future__ import annotations
 import ctypes
 import functools
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, scratch, shared_dir, written  # noqa: F401
+
 #: A word is a run of letters and digits; the same class is ``[\p{L}\p{N}]+`` in SQL.
 WORD = re.compile(r"[^\W_]+")
 
@@ -27,30 +27,6 @@ STEP_CHARS = 300_000
 PART_BYTES = 4 << 20
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only a local session may run without that setting; it then gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="codeloom-")
-        _own[spark.sparkContext.applicationId] = root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and survives the loss of executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, elementwise; the argument is overwritten."""
     x ^= x >> np.uint64(30)
