@@ -1,198 +1,300 @@
 """Exact top-k search by inner product: a ball tree in each shard, branch and bound, shared k-th scores.
 
-Rows near the same pivot share a shard. Every row is a query. It is first searched in its own shard, which
-gives its k-th score so far; it then goes to those other shards only whose ball could hold a better row, and
-that score bounds the search there. Within a shard, a node is visited in the order of its upper bound
-q.centre + |q| * radius, and left out when that is below the query's current k-th score.
+Rows near the same pivot form a cell; a cell of many rows is cut across the line to its neighbour into shards of
+about the same size. Each shard has a ball tree, built once and kept as a row of its table. Queries, a stated set
+of rows or all of them, visit cells in waves, in the order of the upper bound q.centre + |q| * radius: the best one,
+the next 4, the next 16 and so on. After each wave a query's k-th score is what later waves, their shards and the
+trees' nodes are compared with; what can't reach it isn't visited. Within a tree, nodes are visited in the order of
+the same bound.
+
+How much is left out depends on the vectors: of independent directions in many dimensions no ball bound leaves out
+anything, and the search costs what comparing all queries with all rows costs, in blocks.
 
 Scores are rounded to DIGITS decimals; equal scores rank by id.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 K = 10
-#: Rows of a shard, on average; a shard of many more is cut by hash.
+#: Rows of a shard, on average, and most bytes of its matrix.
 SHARD_ROWS = 8192
+SHARD_BYTES = 32 << 20
+#: Bytes of all pivots together, which every task gets; more rows give larger cells, cut into more shards.
+PIVOT_BYTES = 4 << 20
+#: A cell's shards are ranges of one projection up to this number, and equal parts of these ranges beyond.
+RANGES = 256
 #: Queries that visit a shard in one task.
 QUERY_ROWS = 16384
 LEAF = 128
 DIGITS = 9
 _SLACK = 2e-9
 
-FOUND = "vec_id long, neighbour_id long, score double"
-
 
 class BallTree:
-    """A tree of balls over the rows of a matrix; a node is (first row, end, centre, radius, left, right)."""
+    """A tree of balls over the rows of a matrix. A node has a first row and an end, a centre, a radius and two children
+    (-1: a leaf). ``at`` holds the rows' places in the matrix that was given."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, self.nodes = ids.copy(), x.copy(), []
-        if len(ids):
-            self._build(0, len(ids))
+    def __init__(self, x: np.ndarray):
+        self.at, self.x = np.arange(len(x)), x.copy()
+        self.bounds, self.centres, self.radii, self.children = [], [], [], []
+        if len(x):
+            self._build(0, len(x))
+        self.centres = np.array(self.centres).reshape(len(self.radii), -1)
 
     def _build(self, start: int, end: int) -> int:
         x = self.x[start:end]
         centre = x.mean(0)
         away = ((x - centre) ** 2).sum(1)
-        at = len(self.nodes)
-        self.nodes.append([start, end, centre, float(np.sqrt(away.max())), -1, -1])
+        node = len(self.radii)
+        self.bounds.append((start, end))
+        self.centres.append(centre)
+        self.radii.append(float(np.sqrt(away.max())))
+        self.children.append((-1, -1))
         if end - start > LEAF and away.max() > 0:
             far = x[away.argmax()]
             other = x[((x - far) ** 2).sum(1).argmax()]
-            side = x @ (other - far)
-            order = np.argsort(side, kind="stable")
-            self.x[start:end], self.ids[start:end] = x[order], self.ids[start:end][order]
+            order = np.argsort(x @ (other - far), kind="stable")
+            self.x[start:end], self.at[start:end] = x[order], self.at[start:end][order]
             middle = (start + end) // 2
-            left = self._build(start, middle)
-            right = self._build(middle, end)
-            self.nodes[at][4:] = left, right
-        return at
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Improves each query's k best (scores, ids), best first, in place; a row isn't its own neighbour.
-
-        Empty places hold -inf and -1. scores[:, -1] is the bound that nodes are compared with.
-        """
-        self.visits = 0
-        if self.nodes and len(q):
-            norms = np.sqrt((q * q).sum(1))
-            self._visit(0, np.arange(len(q)), q, norms, own, k, scores, ids)
+            self.children[node] = self._build(start, middle), self._build(middle, end)
+        return node
+
+    @property
+    def leaves(self) -> int:
+        return sum(left < 0 for left, _ in self.children)
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, places, leaves visited): each query's k best rows with a score of ``least`` or more, best first,
+        equal scores by place. ``own`` is the place of the query itself, which isn't an answer, or -1. Empty places
+        hold -inf and len(x)."""
+        scores, places = np.full((len(q), k), -np.inf), np.full((len(q), k), len(self.x))
+        visits = np.zeros(len(q), np.int64)
+        if self.children and len(q):
+            state = q, np.sqrt((q * q).sum(1)), own, k, least.astype(float).copy(), scores, places, visits
+            some = np.arange(len(q))
+            self._visit(0, some[self._bound(0, some, q, state[1]) + _SLACK * (1 + state[1]) >= least], state)
+        return scores, places, visits
 
     def _bound(self, node: int, some: np.ndarray, q: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        _, _, centre, radius, _, _ = self.nodes[node]
-        return q[some] @ centre + norms[some] * radius
+        return q[some] @ self.centres[node] + norms[some] * self.radii[node]
 
-    def _visit(self, node: int, some: np.ndarray, q, norms, own, k, scores, ids) -> None:
-        start, end, _, _, left, right = self.nodes[node]
+    def _visit(self, node: int, some: np.ndarray, state: tuple) -> None:
+        q, norms, _, k, least, *_ = state
+        left, right = self.children[node]
         if left < 0:
-            self.visits += len(some)
+            start, end = self.bounds[node]
             step = max(1, 4_000_000 // (end - start + k))
             for i in range(0, len(some), step):
-                self._leaf(some[i : i + step], start, end, q, own, k, scores, ids)
+                self._leaf(some[i : i + step], start, end, state)
             return
         bounds = self._bound(left, some, q, norms), self._bound(right, some, q, norms)
         first = bounds[0] >= bounds[1]
         for child, chosen, bound in ((left, first, bounds[0]), (right, first, bounds[1]), (right, ~first, bounds[1]), (left, ~first, bounds[0])):
             go = some[chosen]
-            go = go[bound[chosen] + _SLACK * (1 + norms[go]) >= scores[go, -1]]
+            go = go[bound[chosen] + _SLACK * (1 + norms[go]) >= least[go]]
             if len(go):
-                self._visit(child, go, q, norms, own, k, scores, ids)
+                self._visit(child, go, state)
 
-    def _leaf(self, some, start, end, q, own, k, scores, ids) -> None:
+    def _leaf(self, some: np.ndarray, start: int, end: int, state: tuple) -> None:
+        q, _, own, k, least, scores, places, visits = state
+        visits[some] += 1
         new = np.round(q[some] @ self.x[start:end].T, DIGITS)
-        names = np.broadcast_to(self.ids[start:end], new.shape)
-        new = np.where(names == own[some][:, None], -np.inf, new)
-        s = np.concatenate([scores[some], new], 1)
-        n = np.concatenate([ids[some], names], 1)
-        best = best_of(s, n, k)
-        scores[some], ids[some] = np.take_along_axis(s, best, 1), np.take_along_axis(n, best, 1)
+        at = self.at[start:end]
+        new[(at == own[some][:, None]) | (new < least[some][:, None])] = -np.inf
+        s, p = np.concatenate([scores[some], new], 1), np.concatenate([places[some], np.broadcast_to(at, new.shape)], 1)
+        best = best_of(s, p, k)
+        scores[some], places[some] = np.take_along_axis(s, best, 1), np.take_along_axis(p, best, 1)
+        least[some] = np.maximum(least[some], scores[some][:, -1])
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of each row's k best, equal scores by id."""
-    order = np.argsort(ids, 1, kind="stable")
+def best_of(scores: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k best, equal scores by place."""
+    order = np.argsort(places, 1, kind="stable")
     return np.take_along_axis(order, np.argsort(-np.take_along_axis(scores, order, 1), 1, kind="stable")[:, :k], 1)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.to_list(), float).reshape(len(column), -1)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
-def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): rows with an id and a vector of finite numbers of the table's most common length."""
-    v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))")
-    sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("v") == sizes[0]["n"]) if sizes else v
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
-def top_k(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbour_id, score): the k rows of largest inner product with each row, other than itself.
+def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, v): rows with an id and a vector of finite numbers, once each."""
+    v = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))")
+    return v.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+class Shards:
+    """The rows in cells and shards, with their trees: ``trees`` (shard, cell, centre, radius, n, leaves, tree), and
+    the cells' ``pivots`` and ``radii``."""
+
+    def __init__(self, clean: DataFrame, dim: int, n: int, shard_rows: int):
+        self.rows = max(1, min(shard_rows, SHARD_BYTES // (8 * dim)))
+        cells = max(1, min(-(-n // self.rows), PIVOT_BYTES // (8 * dim)))
+        pivots = np.array([r["v"] for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()], float)
+        kind = clean.schema["vec_id"].dataType.simpleString()
+        sent = clean.sparkSession.sparkContext.broadcast(pivots)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Nearest pivot, distance to it, and place on the line from it to the second nearest."""
+            pivots = sent.value
+            half = (pivots**2).sum(1) / 2
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4096):
+                    part = batch.slice(start, 4096)
+                    x = _matrix(part.column(1))
+                    near = x @ pivots.T - half
+                    first = near.argmax(1)
+                    near[np.arange(len(x)), first] = -np.inf
+                    second = near.argmax(1)
+                    away = np.sqrt(((x - pivots[first]) ** 2).sum(1))
+                    side = (x * (pivots[second] - pivots[first])).sum(1) if len(pivots) > 1 else away
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(first.astype(np.int64)), pa.array(away), pa.array(side)], names=["vec_id", "v", "cell", "away", "side"])
+
+        placed = written(clean.mapInArrow(assign, f"vec_id {kind}, v array<double>, cell long, away double, side double"), "cells")
+        steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+        size = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.percentile_approx("side", steps, 2000).alias("steps"))
+        wanted = F.ceil(F.col("n") / F.lit(self.rows))
+        ranges = F.least(wanted, F.lit(RANGES).cast("long"))
+        size = size.withColumn("parts", F.ceil(wanted / F.lit(RANGES))).withColumn("cuts", F.expr(f"transform(sequence(1, {RANGES} - 1), i -> struct(i, steps[i - 1] AS at))")).withColumn("ranges", ranges)
+        # every RANGES / ranges-th of the quantiles
+        size = written(size.select("cell", "n", "radius", "parts", F.expr(f"transform(filter(cuts, c -> floor(c.i * ranges / {RANGES}) > floor((c.i - 1) * ranges / {RANGES})), c -> c.at)").alias("cuts")), "cell-sizes")
+        found = {r["cell"]: r["radius"] for r in size.select("cell", "radius").collect()}  # one row for each pivot at most
+        self.pivots = pivots.reshape(-1, dim)
+        self.radii = np.array([found.get(c, -1.0) for c in range(len(self.pivots))])
+        low, high = F.size(F.filter("cuts", lambda c: c < F.col("side"))), F.size(F.filter("cuts", lambda c: c <= F.col("side")))
+        h = F.xxhash64(F.lit(1), "vec_id")
+        # rows that lie on several cuts are dealt out between them; a cell's row has at most RANGES numbers
+        slab = low + F.pmod(h, high - low + 1)
+        part = F.pmod(F.shiftright(h, 20), F.col("parts"))
+        shard = F.shiftleft(F.col("cell"), 40) + F.shiftleft(slab.cast("long"), 32) + part
+        dealt = placed.join(F.broadcast(size.select("cell", "parts", "cuts")), "cell").select("vec_id", "v", "cell", shard.alias("shard"))
+
+        def build(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks().sort_by("vec_id")  # places are in the order of ids
+            tree = BallTree(_matrix(table.column("v")))
+            blob = pickle.dumps((table.column("vec_id").to_pylist(), tree), 5)
+            return pa.table({"shard": table.column("shard")[:1], "cell": table.column("cell")[:1], "centre": _lists(tree.centres[:1]), "radius": [tree.radii[0]], "n": pa.array([len(tree.x)], pa.int64()), "leaves": pa.array([tree.leaves], pa.int64()), "tree": pa.array([blob], pa.binary())})
+
+        self.trees = written(dealt.groupBy("shard").applyInArrow(build, "shard long, cell long, centre array<double>, radius double, n long, leaves long, tree binary"), "trees")
+        discard(placed, size)
+
+
+def _waves(cells: int) -> Iterator[tuple[int, int]]:
+    start, width = 0, 1
+    while start < cells:
+        yield start, start + width
+        start, width = start + width, 4 * width
+
+
+def search(rows: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(vec_id, best, shards, leaves, of_shards, of_leaves): for each query its k best (below, neighbour_id, score),
+    how many shards and leaves it visited, and how many there are."""
+    clean = written(vectors(rows, id_col, vector_col), "vectors")
+    asked = clean if queries is None else written(vectors(queries, id_col, vector_col), "queries")
+    kind = clean.schema["vec_id"].dataType.simpleString()
+    lengths = clean.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if lengths is None:
+        return asked.select("vec_id", F.expr(f"CAST(array() AS array<struct<below:double,neighbour_id:{kind},score:double>>)").alias("best"), *[F.lit(0).cast("long").alias(c) for c in ("shards", "leaves", "of_shards", "of_leaves")]).where("false")
+    dim, n = lengths["dim"], lengths["count"]
+    clean, asked = clean.where(F.size("v") == dim), asked.where(F.size("v") == dim)
+    s = Shards(clean, dim, n, shard_rows)
+    sent = clean.sparkSession.sparkContext.broadcast((s.pivots, s.radii))
+    none = F.expr(f"CAST(array() AS array<struct<below:double,neighbour_id:{kind},score:double>>)")
+    state = written(asked.select("vec_id", "v", none.alias("best"), F.lit(0).cast("long").alias("shards"), F.lit(0).cast("long").alias("leaves")), "search")
+    balls = s.trees.select("shard", "cell", "centre", "radius")
+    for first, end in _waves(len(s.pivots)):
+
+        def cells(batches: Iterator[pa.RecordBatch], first: int = first, end: int = end) -> Iterator[pa.RecordBatch]:
+            """The cells of this wave that may hold something as good as a query's k-th score."""
+            pivots, radii = sent.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    q, kth = _matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
+                    norms = np.sqrt((q * q).sum(1))[:, None]
+                    bound = np.where(radii >= 0, q @ pivots.T + norms * np.maximum(radii, 0), -np.inf)
+                    chosen = np.argsort(-bound, 1, kind="stable")[:, first:end]
+                    ok = np.take_along_axis(bound, chosen, 1) + _SLACK * (1 + norms) >= kth[:, None]
+                    ok &= np.take_along_axis(bound, chosen, 1) > -np.inf
+                    at = np.nonzero(ok)[0]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(kth[at]), pa.array(chosen[ok].astype(np.int64))], names=["vec_id", "v", "kth", "cell"])
+
+        kth = F.coalesce(F.get("best", F.lit(k - 1))["score"], F.lit(float("-inf")))
+        routes = state.select("vec_id", "v", kth.alias("kth")).mapInArrow(cells, f"vec_id {kind}, v array<double>, kth double, cell long")
+        dot = F.aggregate(F.zip_with("v", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
+        routes = written(routes.join(balls, "cell").where(dot + norm * F.col("radius") + F.lit(_SLACK) * (1 + norm) >= F.col("kth")).select("vec_id", "v", "kth", "shard"), "routes")
+        blocks = routes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).alias("blocks"))
+        blocks = written(blocks, "blocks")
+        if not blocks.limit(1).count():
+            discard(routes, blocks)
+            if first:
+                break
+            continue
+        theirs = routes.join(blocks, "shard").selectExpr("vec_id", "v", "kth", "shard", "pmod(xxhash64(vec_id), blocks) AS block")
+        held = s.trees.select("shard", "tree").join(blocks, "shard").selectExpr("shard", "tree", "explode(sequence(0L, blocks - 1)) AS block")
+
+        def visit(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            found = {"vec_id": [], "place": [], "score": []}
+            visits = np.zeros(0, np.int64)
+            asked = theirs.column("vec_id")
+            ids: list = []
+            if mine.num_rows and theirs.num_rows:
+                ids, tree = pickle.loads(mine.column("tree")[0].as_py())
+                place = {x: i for i, x in enumerate(ids)}
+                own = np.array([place.get(x, -1) for x in asked.to_pylist()])
+                scores, at, visits = tree.search(_matrix(theirs.column("v")), own, k, theirs.column("kth").to_numpy())
+                row, col = np.nonzero(scores > -np.inf)
+                found = {"vec_id": row, "place": at[row, col], "score": scores[row, col]}
+            else:
+                row = np.zeros(0, np.int64)
+            names = pa.array(ids, asked.type).take(pa.array(np.asarray(found["place"], np.int64)))
+            # an answer a row, and a row without one for each visit
+            answers = pa.table({"vec_id": asked.take(pa.array(row)), "neighbour_id": names, "score": pa.array(np.asarray(found["score"], float)), "leaves": pa.nulls(len(row), pa.int64())})
+            seen = pa.table({"vec_id": asked.slice(0, len(visits)), "neighbour_id": pa.nulls(len(visits), asked.type), "score": pa.nulls(len(visits), pa.float64()), "leaves": pa.array(visits)})
+            return pa.concat_tables([answers, seen.cast(answers.schema)])
+
+        got = held.groupBy("shard", "block").cogroup(theirs.groupBy("shard", "block")).applyInArrow(visit, f"vec_id {kind}, neighbour_id {kind}, score double, leaves long")
+        new = got.groupBy("vec_id").agg(F.collect_list(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("below"), "neighbour_id", "score"))).alias("more"), F.count("leaves").alias("n_shards"), F.sum("leaves").alias("n_leaves"))
+        best = F.slice(F.sort_array(F.concat("best", F.coalesce("more", none))), 1, k)
+        old, state = state, written(state.join(new, "vec_id", "left").select("vec_id", "v", best.alias("best"), (F.col("shards") + F.coalesce("n_shards", F.lit(0))).alias("shards"), (F.col("leaves") + F.coalesce("n_leaves", F.lit(0))).alias("leaves")), "search")
+        discard(old, routes, blocks)
+    total = s.trees.agg(F.count("*").alias("of_shards"), F.sum("leaves").alias("of_leaves")).first()
+    return state.select("vec_id", "best", "shards", "leaves", F.lit(total["of_shards"]).alias("of_shards"), F.lit(total["of_leaves"]).alias("of_leaves"))
+
+
+def top_k(rows: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbour_id, score): the k rows of largest inner product with each query, other than the one
+    of the query's own id. queries has the same two columns; without it, every row is a query.
 
     Exact: equal to sorting all scores, rounded to DIGITS decimals, by score and then id. Fewer than k other
     rows give fewer ranks. Rows with a null id, a null, empty or not finite vector, or a vector of another
-    length than most, are neither queries nor answers. Rows that repeat an id count once, with the least of
-    their vectors. Other columns are not read; an empty table gives no rows.
+    length than most rows have, are neither queries nor answers. Rows that repeat an id count once, with the least of
+    their vectors. Ids keep their type, which may be any that has an order. Other columns are not read; an empty table
+    gives no rows.
     """
-    clean = written(vectors(rows, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    n = clean.count()
-    shards = max(1, -(-n // shard_rows))
-    pivots = np.array([r["v"] for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(shards, 4096)).collect()], float)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
-            near = (x @ pivots.T - (pivots**2).sum(1) / 2).argmax(1) if len(pivots) and batch.num_rows else np.zeros(batch.num_rows, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int64())], names=["vec_id", "v", "cell"])
-
-    placed = clean.mapInArrow(assign, "vec_id long, v array<double>, cell long")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("rows"))
-    placed = placed.join(cells, "cell").select("vec_id", "v", (F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("rows") / F.lit(2 * shard_rows)))).alias("shard"))
-    placed = written(placed, "shards")
-
-    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["vec_id"].to_numpy(), _matrix(pdf["v"])
-        tree = BallTree(ids, x)
-        scores, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
-        tree.search(x, ids, k, scores, found)
-        out = pd.DataFrame({"vec_id": ids, "v": pdf["v"], "shard": pdf["shard"], "ids": list(found), "scores": list(scores), "centre": None, "radius": np.nan})
-        out.loc[len(out)] = [-1, None, pdf["shard"].iloc[0], None, None, tree.nodes[0][2], tree.nodes[0][3]]
-        return out
-
-    home = written(placed.groupBy("shard").applyInPandas(at_home, "vec_id long, v array<double>, shard long, ids array<long>, scores array<double>, centre array<double>, radius double"), "home")
-    queries = home.where("centre IS NULL")
-    balls = home.where("centre IS NOT NULL").select("shard", "centre", "radius").orderBy("shard").collect()
-    names, centres, radii = np.array([b["shard"] for b in balls], np.int64), np.array([b["centre"] for b in balls], float), np.array([b["radius"] for b in balls], float)
-
-    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query for each other shard whose ball may hold something better than its k-th score."""
-        for batch in batches:
-            pdf = batch.to_pandas()
-            if not len(pdf):
-                continue
-            x, kth = _matrix(pdf["v"]), np.array([s[-1] for s in pdf["scores"]], float)
-            norms = np.sqrt((x * x).sum(1))
-            go = (x @ centres.T + norms[:, None] * radii + _SLACK * (1 + norms[:, None]) >= kth[:, None]) & (pdf["shard"].to_numpy()[:, None] != names)
-            q, s = np.nonzero(go)
-            for i in range(0, len(q), 10_000):
-                a, b = q[i : i + 10_000], s[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(pdf["vec_id"].to_numpy()[a]), pa.array([pdf["v"].iloc[j] for j in a], pa.list_(pa.float64())), pa.array(names[b]), pa.array(kth[a])], names=["vec_id", "v", "shard", "kth"])
-
-    sent = queries.select("vec_id", "v", "shard", "scores").mapInArrow(routes, "vec_id long, v array<double>, shard long, kth double")
-    sent = written(sent, "routes")
-    blocks = sent.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).alias("blocks"))
-    sent = sent.join(blocks, "shard").selectExpr("vec_id", "v", "shard", "kth", "pmod(xxhash64(vec_id), blocks) AS block")
-    held = placed.join(blocks, "shard").selectExpr("vec_id", "v", "shard", "explode(sequence(0L, blocks - 1)) AS block")
-
-    def abroad(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"vec_id": [], "neighbour_id": [], "score": []})
-        tree = BallTree(mine["vec_id"].to_numpy(), _matrix(mine["v"]))
-        x, own = _matrix(theirs["v"]), theirs["vec_id"].to_numpy()
-        # the score that a row must reach fills every place, with an id that loses ties to none
-        scores = np.repeat(theirs["kth"].to_numpy()[:, None], k, 1)
-        found = np.full((len(own), k), np.iinfo(np.int64).max)
-        tree.search(x, own, k, scores, found)
-        q, at = np.nonzero((found != np.iinfo(np.int64).max) & (scores > -np.inf))
-        return pd.DataFrame({"vec_id": own[q], "neighbour_id": found[q, at], "score": scores[q, at]})
-
-    far = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(abroad, FOUND)
-    near = queries.select("vec_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("vec_id", F.col("x.ids").alias("neighbour_id"), F.col("x.scores").alias("score")).where("neighbour_id <> -1 AND score > double('-inf')")
-    ranked = near.unionByName(far).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "neighbour_id", "score"))).alias("all"))
-    return ranked.select("vec_id", F.posexplode(F.slice("all", 1, k)).alias("at", "x")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.neighbour_id").alias("neighbour_id"), F.col("x.score").alias("score"))
-
-
-def oracle(k: int = K, table: str = "embeddings") -> str:
-    """DuckDB SQL: all scores, sorted."""
+    ranked = search(rows, queries, k, id_col, vector_col, shard_rows)
+    return ranked.select("vec_id", F.posexplode("best").alias("at", "x")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.neighbour_id").alias("neighbour_id"), F.col("x.score").alias("score"))
+
+
+def oracle(k: int = K, table: str = "embeddings", every: int = 100) -> str:
+    """DuckDB SQL: all scores of the queries, the rows whose id is divisible by ``every``, sorted."""
     return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM {table}),
-s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.v, b.v), {DIGITS}) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.v, b.v), {DIGITS}) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour_id, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank FROM s) WHERE rank <= {k}"""
