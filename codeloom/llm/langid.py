@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import STEP_CHARS, Words, batch_of, parts, pieces, sampled, steps
+from .shared import STEP_CHARS, Words, found_rows, parts, pieces, sampled, steps, with_ids
 
 BUCKET_BITS = 17
 DIM = 16
@@ -33,8 +33,8 @@ _PIECE_WORDS = 24
 _CLASSES = 12  # of text lengths, by powers of two
 _WHOLE = 4
 
-FOUND = "doc_id long, language string, confidence double, known double, rejected boolean"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("confidence", pa.float64()), ("known", pa.float64()), ("rejected", pa.bool_())])
+FOUND = "language string, confidence double, known double, rejected boolean"
+_FOUND = [("language", pa.string()), ("confidence", pa.float64()), ("known", pa.float64()), ("rejected", pa.bool_())]
 
 
 def _buckets(w: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +195,12 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             found = sent.value.detect(texts) if sent.value else ((None, 0.0, 0.0, True) for _ in texts)
-            yield batch_of([(i, *f) for i, f in zip(ids, found)], _FOUND)
+            yield found_rows(batch.column(0), ((i, *f) for i, f in enumerate(found)), _FOUND)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
+    rows, schema = with_ids(docs, id_col, text_col, FOUND)
+    return rows.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

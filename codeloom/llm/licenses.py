@@ -9,9 +9,8 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import batch_of, fold, parts, worker_cache
+from .shared import fold, found_rows, parts, with_ids, worker_cache
 
 #: Licence identifier -> how free its use is: 0 permissive, 1 weak copyleft, 2 strong copyleft, 3 non-commercial or proprietary.
 LICENSES = {
@@ -51,8 +50,8 @@ _SIGNS, _END_SIGNS = " \t*#/;%>|!", " \t*#/|"
 _COMMENT_WORD = re.compile(r"(?:rem|dnl)[ \t]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
-FOUND = "doc_id long, n_tags int, n_notices int, expression string, licenses string, category string, allowed boolean, problem string"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n_tags", pa.int32()), ("n_notices", pa.int32()), ("expression", pa.string()), ("licenses", pa.string()), ("category", pa.string()), ("allowed", pa.bool_()), ("problem", pa.string())])
+FOUND = "n_tags int, n_notices int, expression string, licenses string, category string, allowed boolean, problem string"
+_FOUND = [("n_tags", pa.int32()), ("n_notices", pa.int32()), ("expression", pa.string()), ("licenses", pa.string()), ("category", pa.string()), ("allowed", pa.bool_()), ("problem", pa.string())]
 
 
 class ExpressionError(ValueError):
@@ -194,13 +193,13 @@ def licenses(docs: DataFrame, most: int = 0, id_col: str = "doc_id", text_col: s
     allowed is whether that is within ``most`` (0 permissive to 3) and every tag's expression could be read.
     An expression that can't be read gives ``problem``; if there's no other, expression is null. Line breaks in
     notices, with the indentation and comment signs after them, and runs of white space count as one space; a tag's expression ends with its line. Null and empty texts name none; null ids
-    and repeated rows are kept; other columns are not read.
+    and repeated rows are kept, ids keep their type; other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = worker_cache("licenses", automaton)
         for batch in parts(batches, 1):
-            ids = batch.column(0)
-            yield batch_of([(ids[i].as_py(), *row) for i, t in enumerate(batch.column(1)) if (row := scan_text(t.as_py(), finder, most))], _FOUND)
+            yield found_rows(batch.column(0), ((i, *row) for i, t in enumerate(batch.column(1)) if (row := scan_text(t.as_py(), finder, most))), _FOUND)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
+    rows, schema = with_ids(docs, id_col, text_col, FOUND)
+    return rows.mapInArrow(run, schema)

@@ -9,10 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .automaton import Dfa, scan
-from .shared import batch_of, parts, replace_column
+from .shared import found_rows, parts, replace_column, with_ids
 
 
 @dataclass(frozen=True)
@@ -55,6 +54,8 @@ _NAME = "(?i)[a-z0-9_]*(?:token|secret|password|passwd|(?:api|access|secret|priv
 _TO = "(?::=|=>|[:=])"
 _QUOTED = f"[\"'](?:[!#-&(-~]{{16,}}|{_with_digit('[!#-&(-/:-~]', 8)})[\"']"
 _BARE = f"{_with_digit('[a-z_/+.~%!$^*@-]', 16)}=?=?"
+#: A password ends at the last @ of the URL's authority.
+_SCHEME = "(?:https?|ftps?|postgres(?:ql)?|mysql|mariadb|mongodb(?:\\+srv)?|rediss?|amqps?)://"
 
 RULES = (
     Rule("aws-access-key", "(?:AKIA|ASIA)[0-9A-Z]{16}"),
@@ -66,12 +67,12 @@ RULES = (
     Rule("npm-token", "npm_[A-Za-z0-9]{36}"),
     Rule("json-web-token", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", closed=False),
     Rule("private-key", _PEM.format("BEGIN") + _KEY_REST, bounded=False, closed=False, sign=_PEM.format("BEGIN")),
-    Rule("url-password", "(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_]+:[A-Za-z0-9_]+@", closed=False),
+    Rule("url-password", f"{_SCHEME}[^ \\t\\r\\n/?#:@\"'<>`]*:[^ \\t\\r\\n/?#\"'<>`]+@", closed=False, sign=f"{_SCHEME}[^ \\t\\r\\n/?#:@\"'<>`]*:"),
     Rule("assigned-secret", f"{_NAME}(?:\\s*{_TO}\\s*{_QUOTED}|[ \\t]*{_TO}[ \\t]*{_BARE})", closed=False, sign=f"{_NAME}\\s*[:=]"),
 )
 
-FOUND = "doc_id long, rule string, match_no int, start int, secret string"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("rule", pa.string()), ("match_no", pa.int32()), ("start", pa.int32()), ("secret", pa.string())])
+FOUND = "rule string, match_no int, start int, secret string"
+_FOUND = [("rule", pa.string()), ("match_no", pa.int32()), ("start", pa.int32()), ("secret", pa.string())]
 #: Bytes that are scanned at once; a longer text is scanned by itself.
 STEP_BYTES = 2 << 20
 
@@ -134,11 +135,12 @@ class Scanner:
                 end += 1
             for i, bits in sorted(self.flagged(encoded[start:end]).items()):
                 text = encoded[start + i]
+                #: Characters that begin before each byte: one sum for all of a text's matches.
+                before = None if text.isascii() else np.cumsum(np.append(0, (np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
                 for k in range(len(self.rules)):
                     if bits >> k & 1:
                         for a, b in self.matches(text, k):
-                            before = len(text[:a].decode("utf-8", "surrogatepass"))
-                            yield start + i, k, before, before + len(text[a:b].decode("utf-8", "surrogatepass"))
+                            yield (start + i, k, a, b) if before is None else (start + i, k, int(before[a]), int(before[b]))
             start = end
 
 
@@ -152,8 +154,9 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     """(doc_id, rule, match_no, start, secret): every match of every rule in every row.
 
     Matches of one rule don't overlap and are numbered from 1 by place; start counts characters from 0; matches
-    of different rules may overlap. Null and empty texts have none. Rows with a null id are scanned, repeated
-    rows are reported each; other columns are not read.
+    of different rules may overlap. Null and empty texts have none, and an empty table no rows; texts of any length
+    are scanned whole. Rows with a null id are scanned, repeated rows are reported each; ids keep their type; other
+    columns are not read.
     """
 
     sent = docs.sparkSession.sparkContext.broadcast(compiled(rules))
@@ -165,17 +168,19 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
             for i, k, a, b in scanner.find(texts):
                 no = no + 1 if last == (i, k) else 1
                 last = i, k
-                rows.append((ids[i].as_py(), rules[k].name, no, a, texts[i][a:b]))
-            yield batch_of(rows, _FOUND)
+                rows.append((i, rules[k].name, no, a, texts[i][a:b]))
+            yield found_rows(ids, rows, _FOUND)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
+    rows, schema = with_ids(docs, id_col, text_col, FOUND)
+    return rows.mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every secret replaced by ``[SECRET:rule]``; the same rows and columns.
 
     Overlapping matches are replaced together under the rule of the first. length_col, if docs has it, gets the
-    new length of changed texts.
+    new length of changed texts. Null and empty texts, repeated rows and columns of any name stay as they are; an empty
+    table stays empty.
     """
     length_col = length_col if length_col in docs.columns else None
 

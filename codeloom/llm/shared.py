@@ -197,6 +197,18 @@ def sampled(rows: DataFrame, key: str, group: str, per_group: int) -> DataFrame:
     return chosen.limit(2 * per_group * len(counts))
 
 
+def with_ids(docs: DataFrame, id_col: str, text_col: str, fields: str) -> tuple[DataFrame, str]:
+    """(doc_id, text) of docs, the id in its own type, and the schema of a result with that id and other fields."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}"
+
+
+def found_rows(ids: pa.Array, rows: Iterable[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """Rows (place in ids, *fields) as an Arrow batch with the ids at these places."""
+    at, *cols = list(zip(*rows)) or [()] * (len(fields) + 1)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(cols, fields)]], names=["doc_id", *[n for n, _ in fields]])
+
+
 def batch_of(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """Rows of tuples as an Arrow batch."""
     cols = list(zip(*rows)) or [()] * len(schema)

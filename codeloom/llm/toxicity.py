@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import STEP_CHARS, Words, batch_of, parts, pieces, sampled, steps
+from .shared import STEP_CHARS, Words, found_rows, parts, pieces, sampled, steps, with_ids
 
 BUCKET_BITS = 18
 ORDERS = (3, 6)
@@ -43,8 +43,8 @@ IDENTITY_TERMS = (
 )
 _ENDS = np.array([ord(c) for c in ".!?\n…"], np.uint32)
 
-FOUND = "doc_id long, score double, toxic boolean"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_())])
+FOUND = "score double, toxic boolean"
+_FOUND = [("score", pa.float64()), ("toxic", pa.bool_())]
 
 
 class Sentences:
@@ -227,6 +227,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
             scores = sent.value.scores(batch.column(1).to_pylist())
-            yield batch_of([(i, round(float(x), 6), bool(x >= sent.value.threshold and x > 0)) for i, x in zip(batch.column(0).to_pylist(), scores)], _FOUND)
+            yield found_rows(batch.column(0), ((i, round(float(x), 6), bool(x >= sent.value.threshold and x > 0)) for i, x in enumerate(scores)), _FOUND)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
+    rows, schema = with_ids(docs, id_col, text_col, FOUND)
+    return rows.mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """WARC files: a sequential reader and a writer, as a Spark data source.
 
-The reader goes through a file once: each record is a gzip member of its own, decompressed bit by bit; its
+The reader goes through a file once: each record is a gzip member of its own, decompressed and hashed bit by bit; its
 header says how long its block is, and the digests in it are verified. One task reads a file; files are what is
 read in parallel, so they should be of about the same size (the writer cuts them at ``records_per_file``).
 
@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,23 +26,59 @@ from pyspark.sql.types import StructType
 
 from .shared import shared_dir
 
-SCHEMA = "file string, offset long, record_id string, type string, uri string, date string, content_type string, headers map<string,string>, payload binary, block_length long, digest string, digest_ok boolean, problem string"
-_ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("block_length", pa.int64()), ("digest", pa.string()), ("digest_ok", pa.bool_()), ("problem", pa.string())])
+SCHEMA = "file string, offset long, record_id string, type string, uri string, date string, content_type string, headers map<string,string>, part int, payload binary, block_length long, digest string, digest_ok boolean, problem string"
+_ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("part", pa.int32()), ("payload", pa.binary()), ("block_length", pa.int64()), ("digest", pa.string()), ("digest_ok", pa.bool_()), ("problem", pa.string())])
 CHUNK = 1 << 20
 BATCH_BYTES = 16 << 20
 BATCH_RECORDS = 500
-#: A member that grows beyond this is given up as broken; its compressed bytes are still skipped.
-MOST_BLOCK = 1 << 30
+#: Bytes of payload in a row: a longer one comes in parts, a row each.
+PART_BYTES = 256 << 20
+#: Compressed bytes of a member that are kept, to look for the next one in them if it turns out to be broken.
+KEPT_BYTES = 64 << 20
+_MAGIC = b"\x1f\x8b\x08"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def members(stream, most: int = MOST_BLOCK) -> Iterator[tuple[int, bytes, str | None]]:
-    """(offset of the member, its content, problem) for each gzip member of a stream, read chunk by chunk.
+def _begins(data: bytes) -> bool | None:
+    """Whether a gzip member of a WARC record begins here; None if the bytes are too few to tell."""
+    try:
+        text = zlib.decompressobj(31).decompress(data, 5)
+    except zlib.error:
+        return False
+    return text == b"WARC/" if len(text) == 5 else None
 
-    A broken member ends the file: what follows it can't be found. A member longer than ``most`` is skipped.
+
+def _next_member(data: bytes, stream) -> tuple[int, bytes]:
+    """(bytes skipped, the rest) up to where the next record's member begins, or to the end of the stream."""
+    skipped = 0
+    while True:
+        at = data.find(_MAGIC)
+        if at >= 0:
+            begins = _begins(data[at : at + 65_536])
+            if begins is None and (more := stream.read(CHUNK)):
+                data += more
+                continue
+            if begins:
+                return skipped + at, data[at:]
+            skipped, data = skipped + at + 1, data[at + 1 :]
+            continue
+        tail = len(data) - min(2, len(data))
+        skipped, data = skipped + tail, data[tail:]
+        more = stream.read(CHUNK)
+        if not more:
+            return skipped + len(data), b""
+        data += more
+
+
+def pieces_of_members(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """(offset of the member, a piece of its content, None) for the pieces of each gzip member of a stream, and
+    (offset, None, problem) at its end.
+
+    After a broken member, reading goes on where the next member inflates to a WARC record; so one that is damaged
+    or cut off costs no other record.
     """
     data, offset = b"", 0
     while True:
@@ -54,28 +91,83 @@ def members(stream, most: int = MOST_BLOCK) -> Iterator[tuple[int, bytes, str |
             offset += len(data) - len(rest)
             data = rest
             continue
-        start, out, size, problem = offset, [], 0, None
+        start, problem, seen, size = offset, None, [data], len(data)
         inflate = zlib.decompressobj(31)
         while not inflate.eof:
             if not data:
                 data = stream.read(CHUNK)
                 if not data:
-                    yield start, b"".join(out), "truncated member"
-                    return
+                    problem = "truncated member"
+                    break
+                if size <= KEPT_BYTES:
+                    seen.append(data)
+                size += len(data)
             try:
                 part = inflate.decompress(data, CHUNK)
             except zlib.error as e:
-                yield start, b"".join(out), f"not a gzip member: {e}"
-                return
+                problem = f"not a gzip member: {e}"
+                break
             left = inflate.unconsumed_tail or inflate.unused_data
             offset += len(data) - len(left)
             data = left
-            size += len(part)
-            if size > most:
-                out, problem = [], "member too long"
-            else:
-                out.append(part)
-        yield start, b"".join(out), problem
+            if part:
+                yield start, part, None
+        yield start, None, problem
+        if problem:
+            kept = b"".join(seen)
+            # the member may have swallowed others: they are looked for from its second byte on
+            offset, data = (start + 1, kept[1:]) if size == len(kept) else (offset, data)
+            skipped, data = _next_member(data, stream)
+            offset += skipped
+
+
+def pieces_of_records(stream, data: bytes = b"") -> Iterator[tuple[int, bytes | None, str | None]]:
+    """The same for a file without compression: records are framed by their content length. What isn't a record is
+    skipped up to the next line that begins one."""
+    offset = 0
+
+    def more() -> bool:
+        nonlocal data
+        new = stream.read(CHUNK)
+        data += new
+        return bool(new)
+
+    while data or more():
+        start = offset
+        while (end := data.find(b"\r\n\r\n")) < 0 and len(data) < 1 << 20 and more():
+            pass
+        found = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r$", data[: end + 2]) if end >= 0 and data[:5] == b"WARC/" else None
+        if not found:
+            at = data.find(b"\nWARC/", 1)
+            while at < 0 and more():
+                at = data.find(b"\nWARC/", 1)
+            skip = at + 1 if at >= 0 else len(data)
+            if data[:skip].strip(b"\r\n"):
+                yield start, None, "no WARC header"
+            offset, data = offset + skip, data[skip:]
+            continue
+        left = end + 4 + int(found[1])
+        while left and (data or more()):
+            yield start, data[:left], None
+            n = min(left, len(data))
+            offset, data, left = offset + n, data[n:], left - n
+        while len(data) < 4 and more():
+            pass
+        if data[:4] == b"\r\n\r\n":
+            yield start, data[:4], None
+            offset, data = offset + 4, data[4:]
+        yield start, None, None
+
+
+def members(stream) -> Iterator[tuple[int, bytes, str | None]]:
+    """(offset of the member, its content, problem) for each gzip member of a stream."""
+    out = []
+    for offset, piece, problem in pieces_of_members(stream):
+        if piece is not None:
+            out.append(piece)
+        else:
+            yield offset, b"".join(out), problem
+            out = []
 
 
 def digest_of(data: bytes, algorithm: str = "sha1") -> str | None:
@@ -85,65 +177,150 @@ def digest_of(data: bytes, algorithm: str = "sha1") -> str | None:
     return f"{algorithm}:{base64.b32encode(hashlib.new(algorithm, data).digest()).decode().rstrip('=')}"
 
 
-def _verified(claimed: str | None, data: bytes) -> bool | None:
-    """Whether data has the digest; None without a digest of a known algorithm. Base 32 or hexadecimal."""
-    if not claimed or ":" not in claimed:
-        return None
-    algorithm, _, value = claimed.partition(":")
-    own = digest_of(data, algorithm.strip().lower())
-    if own is None:
-        return None
-    own_value = own.partition(":")[2]
-    pad = base64.b32decode(own_value + "=" * (-len(own_value) % 8)).hex()
-    return value.strip().rstrip("=").upper() == own_value or value.strip().lower() == pad
+class _Digest:
+    """A digest that a header claims, and the bytes' own as they come. Base 32 or hexadecimal."""
+
+    def __init__(self, claimed: str | None):
+        algorithm, colon, self.value = (claimed or "").partition(":")
+        algorithm = algorithm.strip().lower()
+        self.own = hashlib.new(algorithm) if colon and algorithm in ("sha1", "md5", "sha256", "sha512") else None
+
+    def update(self, data: bytes) -> None:
+        if self.own:
+            self.own.update(data)
+
+    def agrees(self) -> bool | None:
+        """None without a digest of a known algorithm."""
+        if not self.own:
+            return None
+        value = self.value.strip()
+        return value.rstrip("=").upper() == base64.b32encode(self.own.digest()).decode().rstrip("=") or value.lower() == self.own.hexdigest()
+
+
+class Record:
+    """One record, fed piece by piece: its header, then a block of the content length, whose payload comes in parts."""
+
+    def __init__(self):
+        self.headers: dict[str, str] = {}
+        self.problem: str | None = None
+        self.length: int | None = None  # of the block, by its header
+        self.block_length = 0
+        self._head: bytes | None = b""
+        self._http: bytes | None = None  # the end of an HTTP header that hasn't ended
+        self._after = b""
+        self._payload: list[bytes] = []
+        self._size = 0
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        """Takes content; gives parts of the payload that are full."""
+        if self._head is not None:
+            self._head += data
+            head, sep, data = self._head.partition(b"\r\n\r\n")
+            if not sep:
+                return
+            self._head = None
+            self._start(head)
+        if self.length is None:
+            return
+        block = data[: self.length - self.block_length]
+        self._after = (self._after + data[len(block) :])[:5]
+        if block:
+            first = not self.block_length
+            self.block_length += len(block)
+            self._block.update(block)
+            if first and self.headers.get("warc-type") in ("response", "request") and block[:5] in (b"HTTP/", b"GET /", b"POST "):
+                self._http = b""
+            if self._http is not None:
+                _, sep, rest = (self._http + block).partition(b"\r\n\r\n")
+                self._http = None if sep else (self._http + block)[-3:]
+                block = rest
+            self._digest.update(block)
+            self._payload.append(block)
+            self._size += len(block)
+            while self._size > PART_BYTES:
+                whole = b"".join(self._payload)
+                yield whole[:PART_BYTES]
+                self._payload, self._size = [whole[PART_BYTES:]], len(whole) - PART_BYTES
+
+    def _start(self, head: bytes) -> None:
+        lines = head.split(b"\r\n")
+        if not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
+            self.problem = "no WARC header"
+            return
+        last = None
+        for line in lines[1:]:
+            if line[:1] in b" \t" and last and line:  # a folded line
+                self.headers[last] += " " + line.strip().decode("utf-8", "replace")
+                continue
+            name, colon, value = line.partition(b":")
+            if colon:
+                last = name.strip().decode("utf-8", "replace").lower()
+                self.headers[last] = value.strip().decode("utf-8", "replace")
+        length = self.headers.get("content-length", "")
+        if not length.isascii() or not length.isdigit():
+            self.problem = "no content length"
+            return
+        self.length = int(length)
+        self._block, self._digest = _Digest(self.headers.get("warc-block-digest")), _Digest(self.headers.get("warc-payload-digest"))
+
+    def end(self) -> dict:
+        """The fields, with the last part of the payload; ``problem`` says what is wrong."""
+        out = {"headers": self.headers, "payload": None, "block_length": None, "digest_ok": None, "problem": self.problem}
+        if self.length is None:
+            return out | {"problem": self.problem or "no WARC header"}
+        if self.block_length < self.length:
+            out["problem"] = "block shorter than its content length"
+        elif self._after != b"\r\n\r\n":
+            out["problem"] = "record doesn't end after its block"
+        known = [c for c in (self._block.agrees(), self._digest.agrees()) if c is not None]
+        if known and not all(known):
+            out["problem"] = out["problem"] or "digest doesn't match"
+        return out | {"payload": b"".join(self._payload), "block_length": self.block_length, "digest_ok": all(known) if known else None}
 
 
 def parse_record(content: bytes) -> dict:
-    """The fields of one record; ``problem`` says what is wrong with it, and the other fields hold what there is."""
-    out: dict = {"headers": {}, "payload": None, "block_length": None, "digest_ok": None, "problem": None}
-    head, sep, rest = content.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not sep or not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
-        return out | {"problem": "no WARC header"}
-    headers: dict[str, str] = {}
-    last = None
-    for line in lines[1:]:
-        if line[:1] in b" \t" and last and line:  # a folded line
-            headers[last] += " " + line.strip().decode("utf-8", "replace")
-            continue
-        name, colon, value = line.partition(b":")
-        if colon:
-            last = name.strip().decode("utf-8", "replace").lower()
-            headers[last] = value.strip().decode("utf-8", "replace")
-    out["headers"] = headers
-    length = headers.get("content-length", "")
-    if not length.isascii() or not length.isdigit():
-        return out | {"problem": "no content length"}
-    block = rest[: int(length)]
-    out["block_length"] = len(block)
-    if len(block) < int(length):
-        out["problem"] = "block shorter than its content length"
-    elif rest[int(length) :] != b"\r\n\r\n":
-        out["problem"] = "record doesn't end after its block"
-    payload = block
-    if headers.get("warc-type") in ("response", "request") and block[:5] in (b"HTTP/", b"GET /", b"POST "):
-        payload = block.partition(b"\r\n\r\n")[2]
-    checks = [_verified(headers.get("warc-block-digest"), block), _verified(headers.get("warc-payload-digest"), payload)]
-    known = [c for c in checks if c is not None]
-    out |= {"payload": payload, "digest_ok": all(known) if known else None}
-    if known and not all(known):
-        out["problem"] = out["problem"] or "digest doesn't match"
-    return out
+    """The fields of one record whose payload is one part."""
+    r = Record()
+    for _ in r.feed(content):
+        raise ValueError("the payload has several parts")
+    return r.end()
 
 
 def records(path: str) -> Iterator[tuple]:
     """Rows of SCHEMA, in the file's order."""
     system, name = _open(path)
     with system.open_input_stream(name, compression=None) as stream:
-        for offset, content, problem in members(stream):
-            r = parse_record(content)
-            h = r["headers"]
-            yield (path, offset, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), list(h.items()), r["payload"], r["block_length"], h.get("warc-block-digest") or h.get("warc-payload-digest"), r["digest_ok"], problem or r["problem"])
+        first = stream.read(CHUNK)
+        joined = _Joined(first, stream)
+        pieces = pieces_of_records(joined) if first[:5] == b"WARC/" else pieces_of_members(joined)
+        r, part = Record(), 0
+
+        def row(offset: int, x: dict) -> tuple:
+            h = r.headers
+            return (path, offset, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), list(h.items()), part, x["payload"], x["block_length"], h.get("warc-block-digest") or h.get("warc-payload-digest"), x["digest_ok"], x["problem"])
+
+        for offset, piece, problem in pieces:
+            if piece is not None:
+                for payload in r.feed(piece):
+                    yield row(offset, {"payload": payload, "block_length": None, "digest_ok": None, "problem": None})
+                    part += 1
+                continue
+            last = r.end()
+            yield row(offset, last | {"problem": problem or last["problem"]})
+            r, part = Record(), 0
+
+
+class _Joined:
+    """A stream with its beginning put back."""
+
+    def __init__(self, first: bytes, stream):
+        self.first, self.stream = first, stream
+
+    def read(self, n: int) -> bytes:
+        if self.first:
+            out, self.first = self.first, b""
+            return out
+        return self.stream.read(n)
 
 
 class _File(InputPartition):
@@ -165,13 +342,13 @@ class _Reader(DataSourceReader):
         prefix = self.path.rstrip("/")
         found = system.get_file_info(fs.FileSelector(name, recursive=True))
         base = name.rstrip("/")
-        return [_File(prefix + f.path[len(base) :]) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith((".warc.gz", ".warc"))] or [_File("")]
+        return [_File(prefix + f.path[len(base) :]) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith((".warc.gz", ".warc")) and not re.search("/[._]", f.path[len(base) :])] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for row in records(partition.path) if partition.path else ():
             rows.append(row)
-            size += len(row[8] or b"")
+            size += len(row[9] or b"")
             if size >= BATCH_BYTES or len(rows) >= BATCH_RECORDS:
                 yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r)) for r in rows], schema=_ARROW)
                 rows, size = [], 0
@@ -180,10 +357,12 @@ class _Reader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").load(path)``: the records of a file, or of all .warc.gz files below a folder.
+    """``spark.read.format("warc").load(path)``: the records of a file, or of all .warc.gz and .warc files below a
+    folder; names that begin with a dot or an underscore, a writer's waiting files among them, are left out.
 
-    Records that can't be read whole have a ``problem``; files without records, and folders without files, give
-    no rows.
+    Records that can't be read whole have a ``problem``, and reading goes on with the next one. A payload of more than
+    PART_BYTES comes in several rows, numbered by ``part``; the last one has the block's length and the digests' verdict.
+    Files without records, and folders without files, give no rows.
     """
 
     @classmethod
@@ -246,14 +425,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                         out.close()
                     names.append(f"{uuid4().hex}.warc.gz")
                     out, n = system.open_output_stream(f"{base}/{names[-1]}", compression=None), 0
-                extra = ({"X-Null-Id": "1"} if i is None else {}) | ({"X-Null-Payload": "1"} if html is None else {})
-                out.write(record(f"<urn:page:{'' if i is None else i}>", url, (html or "").encode("utf-8", "surrogatepass"), extra))
+                extra = ({"X-Null-Id": "1"} if i is None else {"X-Id": _escape(i)}) | ({"X-Null-Payload": "1"} if html is None else {})
+                out.write(record(f"<urn:page:{'' if i is None else quote(i, safe='-')}>", url, (html or "").encode("utf-8", "surrogatepass"), extra))
                 n += 1
         if out is not None:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    rows = pages.select(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     # names are as many as files, and files hold thousands of records
     done = [r["name"] for r in rows.mapInArrow(run, "name string").collect()]
     system, base = _open(path)
@@ -267,17 +446,18 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest_ok, problem): pages written as WARC files in the shared folder and read again.
 
-    Null ids, urls and texts come back as nulls, empty ones as empty, repeated rows as often as they were there;
-    other columns are not read; an empty table gives no rows.
+    Null ids, urls and texts come back as nulls, empty ones as empty, repeated rows as often as they were there, ids in
+    their type (any that a string can hold), texts of up to PART_BYTES as they were; other columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write_warc(pages, path)
     r = read_warc(spark, path)
+    headers = F.col("headers")
     return r.select(
-        F.when(F.col("headers")["x-null-id"].isNull(), F.regexp_extract("record_id", r"<urn:page:(-?\d+)>", 1).cast("long")).alias("page_id"),
+        F.when(headers["x-null-id"].isNull(), unescape(headers["x-id"])).cast(pages.schema["page_id"].dataType).alias("page_id"),
         unescape(F.col("uri")).alias("url"),
-        F.when(F.col("headers")["x-null-payload"].isNull(), F.decode("payload", "UTF-8")).alias("html"),
+        F.when(headers["x-null-payload"].isNull(), F.decode("payload", "UTF-8")).alias("html"),
         "digest_ok",
         "problem",
     )

@@ -54,8 +54,53 @@ def test_broken_members_have_a_problem():
     truncated = list(warc.members(io.BytesIO(one + one[:-30])))
     assert [p for _, _, p in truncated] == [None, "truncated member"]
     assert "not a gzip member" in list(warc.members(io.BytesIO(one + b"garbage")))[-1][2]
-    long = list(warc.members(io.BytesIO(one + gzip.compress(b"z" * 50_000) + one), most=10_000))
-    assert [p for _, _, p in long] == [None, "member too long", None]
+
+
+@pytest.mark.parametrize("chunk", [50, 4096, 1 << 20])
+def test_reading_goes_on_after_a_broken_member(monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    good = [warc.record(f"<urn:{i}>", "http://a/", bytes(range(256)) * 40) for i in range(4)]
+    flipped = bytearray(good[1])
+    flipped[len(flipped) // 2] ^= 0xFF
+    for broken in (bytes(flipped), good[1][:-40], b"garbage", good[1][:5], b"\x1f\x8b\x08" * 9):
+        data = good[0] + broken + good[2] + good[3]
+        found = list(warc.members(io.BytesIO(data)))
+        offsets = {at: p for at, _, p in found}
+        for at in (0, len(good[0]) + len(broken), len(data) - len(good[3])):
+            assert at in offsets and offsets[at] is None, (broken[:9], offsets)
+        assert any(offsets.values())
+
+
+def test_long_payloads_come_in_parts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "PART_BYTES", 1000)
+    payload = bytes(range(256)) * 20
+    (tmp_path / "a.warc.gz").write_bytes(warc.record("<urn:1>", "http://a/", payload) + warc.record("<urn:2>", "http://a/", b"x"))
+    got = list(warc.records(str(tmp_path / "a.warc.gz")))
+    names = [f.split()[0] for f in warc.SCHEMA.split(", ")]
+    got = [dict(zip(names, r)) for r in got]
+    assert b"".join(r["payload"] for r in got[:-1]) == payload and [r["part"] for r in got] == [0, 1, 2, 3, 4, 5, 0]
+    assert [r["digest_ok"] for r in got] == [None] * 5 + [True, True] and not any(r["problem"] for r in got)
+
+
+def test_files_without_compression(tmp_path):
+    blocks = [warc.record(f"<urn:{i}>", "http://a/", b"x" * i) for i in range(3)]
+    plain = [gzip.decompress(b) for b in blocks]
+    (tmp_path / "a.warc").write_bytes(plain[0] + b"junk\r\n" + plain[1] + plain[2])
+    got = list(warc.records(str(tmp_path / "a.warc")))
+    assert [(r[2], r[-1]) for r in got if r[2]] == [("<urn:0>", None), ("<urn:1>", None), ("<urn:2>", None)]
+    assert sum(r[-1] is not None for r in got) == 1
+
+
+def test_waiting_files_are_left_out(spark, tmp_path):
+    (tmp_path / "_waiting").mkdir()
+    for where in (tmp_path, tmp_path / "_waiting"):
+        (where / "a.warc.gz").write_bytes(warc.record("<urn:1>", "http://a/", b"x"))
+    assert warc.read_warc(spark, str(tmp_path)).count() == 1
+
+
+def test_text_ids(spark):
+    data = [("a b%\r\nü", "http://a/", "x"), ("", None, ""), (None, "u", None)]
+    assert rows(warc.round_trip(spark.createDataFrame(data, "page_id string, url string, html string")).select("page_id", "url", "html")) == sorted(data, key=repr)
 
 
 @pytest.mark.parametrize("algorithm", ["sha1", "md5", "sha256"])
