@@ -47,31 +47,36 @@ def best_candidate(candidates: DataFrame, targets: DataFrame, keys: list[str]) -
 
 def resolve(calls: DataFrame, index: Index) -> DataFrame:
     """calls with ``callee`` and ``priority``, both null where a call doesn't resolve."""
-    names = index.names
     base = F.substring_index("receiver", ".", 1)
     is_method = F.col("is_method_call") & F.col("receiver").isNotNull()
     c = calls.withColumn("branch", F.coalesce("branch_ord", F.lit(-1))).withColumn("bound", is_method)
     c = c.withColumn("head", F.when(is_method, base).otherwise(F.col("name")))
 
-    def look(df: DataFrame, column: Column, out: str) -> DataFrame:
-        """The import index's answer for a name of the call's module."""
-        n = names.select(F.col("module_path").alias("m"), F.col("local_name").alias("l"), F.col("qn").alias(out))
-        return df.join(n, (df.module_path == n.m) & (column == n.l), "left").drop("m", "l")
-
     def first(column: str) -> Column:
         return F.substring_index(column, ".", 1)
 
-    def type_qn(type_name: str, looked: str) -> Column:
+    # all that a call asks the import index for is asked in one join, and comes back as a small map
+    asked = F.array_distinct(F.array_compact(F.array(F.col("head"), *[F.when(is_method, x) for x in (first("param_type"), first("local_type"), F.col("assigned"))])))
+    answers = (
+        c.select(*KEY, "module_path", F.explode(asked).alias("local_name")).join(index.names, ["module_path", "local_name"])
+        .groupBy(*KEY).agg(F.map_from_entries(F.collect_set(F.struct("local_name", "qn"))).alias("known"))
+    )
+    c = c.join(answers, list(KEY), "left")
+
+    def look(column: Column) -> Column:
+        """The import index's answer for a name of the call's module."""
+        return F.try_element_at("known", column)
+
+    def type_qn(type_name: str, looked: Column) -> Column:
         rest = F.expr(f"substring({type_name}, length(substring_index({type_name}, '.', 1)) + 1)")
-        return F.coalesce(F.concat(F.col(looked), rest), _dot(F.col("module_path"), F.col(type_name)))
-
-    c = look(c, F.col("head"), "head_qn")
-    c = look(c, F.when(is_method, first("param_type")), "param_qn")
-    c = look(c, F.when(is_method, first("local_type")), "local_qn")
-    c = look(c, F.when(is_method, F.col("assigned")), "made_qn")
-    returns = index.returns.select(F.col("qualified_name").alias("made_by"), F.col("return_type").alias("made_type"))
-    c = c.withColumn("made_by", F.when(is_method, F.coalesce("made_qn", _dot(F.col("module_path"), F.col("assigned"))))).join(returns, "made_by", "left")
-    c = look(c, F.when(is_method, first("made_type")), "made_type_qn")
+        return F.coalesce(F.concat(looked, rest), _dot(F.col("module_path"), F.col(type_name)))
+
+    c = c.withColumn("head_qn", look(F.col("head")))
+    # only calls on something that a call made: others would meet as nulls in one task
+    made = c.where(is_method & F.col("assigned").isNotNull()).select(*KEY, "module_path", F.coalesce(look(F.col("assigned")), _dot(F.col("module_path"), F.col("assigned"))).alias("qualified_name"))
+    made = made.join(index.returns, "qualified_name").withColumnRenamed("return_type", "made_type").withColumn("local_name", first("made_type"))
+    made = made.join(index.names, ["module_path", "local_name"], "left").select(*KEY, "made_type", F.col("qn").alias("made_type_qn"))
+    c = c.join(made, list(KEY), "left")
     name, module = F.col("name"), F.col("module_path")
     own_class = _dot(module, F.col("class_name"))
     through_self = F.when(base == "self", own_class)
@@ -83,9 +88,9 @@ def resolve(calls: DataFrame, index: Index) -> DataFrame:
         _candidate(11, "inherited", _dot(through_self, name)),
         _candidate(20, "name", _dot(F.col("head_qn"), name)),
         _candidate(21, "name", F.when(chain != "", _dot(F.concat(F.col("head_qn"), chain), name))),
-        *_of_type(30, F.col("param_type"), type_qn("param_type", "param_qn"), name),
-        *_of_type(40, F.col("local_type"), type_qn("local_type", "local_qn"), name),
-        *_of_type(50, F.col("made_type"), type_qn("made_type", "made_type_qn"), name),
+        *_of_type(30, F.col("param_type"), type_qn("param_type", look(first("param_type"))), name),
+        *_of_type(40, F.col("local_type"), type_qn("local_type", look(first("local_type"))), name),
+        *_of_type(50, F.col("made_type"), type_qn("made_type", F.col("made_type_qn")), name),
         _candidate(60, "name", orm),
     )
     plain = F.array(_candidate(70, "free", F.col("head_qn")), _candidate(71, "name", _dot(module, name)), _candidate(72, "name", _dot(own_class, name)))
@@ -103,12 +108,18 @@ def _strategy(priority: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in STRATEGIES.items() for x in kv]), priority)
 
 
+def edges(resolved: DataFrame) -> DataFrame:
+    """The calls that resolved; a callee outside the caller's module makes an edge cross files."""
+    order = F.struct("file_path", "func_ord", "branch", "call_ord").alias("edge_ord")
+    module = F.concat("module_path", F.lit("."))
+    return resolved.where("callee IS NOT NULL").select(order, "caller", "callee", "condition", (~F.col("callee").startswith(module)).alias("is_cross_file"), "name", "receiver", "line", "args_count", "is_method_call", "is_async_dispatch", "async_type", _strategy(F.col("priority")).alias("strategy"))
+
+
 class Resolved:
     """Edges and unresolved calls. ``edge_ord`` is the calls' place: file, function, branch (none first), call."""
 
     def __init__(self, calls: DataFrame, index: Index):
         self.all = written(resolve(calls, index), "resolved")
+        self.edges = edges(self.all)
         order = F.struct("file_path", "func_ord", "branch", "call_ord").alias("edge_ord")
-        module = F.concat("module_path", F.lit("."))
-        self.edges = self.all.where("callee IS NOT NULL").select(order, "caller", "callee", "condition", (~F.col("callee").startswith(module)).alias("is_cross_file"), "name", "receiver", "line", "args_count", "is_method_call", "is_async_dispatch", "async_type", _strategy(F.col("priority")).alias("strategy"))
         self.unresolved = self.all.where("callee IS NULL").select(order, "caller", "name", "receiver", "line", unresolved_reason(F.col("name")).alias("reason"))

@@ -8,13 +8,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import last_part, parent, short_path, truncate
+from ..functions.names import last_part, parent, short_path
 from ..operators import graph, group
 from ..operators.detectors import annotations, entry_points
 from ..operators.index import Index
 from ..operators.resolve import Resolved
-from ..sources import listing, store
+from ..sources import files, listing, store
 from ..sources.parse import Tables, parse_listing, parse_texts
+from ..storage import written
 from . import reports
 
 
@@ -44,13 +45,13 @@ class Engine:
         return cls.from_tables(files.sparkSession, Tables(parse_texts(files)), name)
 
     @classmethod
-    def open(cls, spark: SparkSession, config: listing.Config, use_store: bool = True) -> Engine:
-        """The stored graph if it is fresh, else a new one, which is stored unless use_store is false."""
-        files = listing.listing(spark, config)
-        name = os.path.basename(os.path.abspath(config.root))
-        if use_store and store.fresh(spark, config, files) and (tables := store.load(spark, config)):
+    def open(cls, spark: SparkSession, config: listing.Config, use_store: bool = True, fresh: bool = False) -> Engine:
+        """The stored graph if it is fresh, else (or with ``fresh``) a new one, which is stored unless use_store is false."""
+        found = written(listing.listing(spark, config), "listing")
+        name = os.path.basename(files.absolute(config.root))
+        if use_store and not fresh and store.fresh(spark, config, found) and (tables := store.load(spark, config)):
             return cls(spark, tables, name)
-        engine = cls.from_tables(spark, Tables(parse_listing(files)), name)
+        engine = cls.from_tables(spark, Tables(parse_listing(found)), name)
         if use_store:
             store.save(config, engine.tables)
             engine = cls(spark, store.load(spark, config), name)
@@ -65,8 +66,12 @@ class Engine:
     # ---- tables
 
     def modules_report(self) -> DataFrame:
-        """A row for each module, by path."""
-        return self.modules.select("module_path", F.expr("n_functions - n_classes").alias("functions"), F.col("n_classes").alias("classes"), F.col("n_imports").alias("imports"), "file_path").orderBy("file_path")
+        """A row for each module, by its dotted path; classes count among functions."""
+        return self.modules.select("module_path", F.col("n_functions").alias("functions"), F.col("n_classes").alias("classes"), F.col("n_imports").alias("imports"), "file_path").orderBy("module_path")
+
+    def init(self) -> dict[str, DataFrame]:
+        """Modules, totals and entry points: the report on a project that was just read."""
+        return {"modules": self.modules_report(), "totals": self.totals(), "entry_points": self.entry_points.orderBy("ep_ord").select("type", "trigger", F.coalesce("description", F.lit("")).alias("description"))}
 
     def totals(self) -> DataFrame:
         """One row of counts; functions that share a name all count."""
@@ -81,13 +86,13 @@ class Engine:
 
     def entries(self, kind: str | None = None) -> DataFrame:
         rows = self.entry_points if kind is None else self.entry_points.where(F.col("type") == kind)
-        return rows.select("type", "trigger", last_part(F.col("node_id")).alias("function"), truncate(F.coalesce("description", F.lit("")), 40).alias("description"), "node_id").orderBy("type", "trigger", "node_id")
+        return rows.select("type", "trigger", last_part(F.col("node_id")).alias("function"), F.substring(F.coalesce("description", F.lit("")), 1, 40).alias("description"), "node_id").orderBy("type", "trigger", "node_id")
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        """Hits with the last parts of their file's path and whether they are entry points."""
+        """Hits with the last parts of their file's path and line, and whether they are entry points."""
         hits = graph.search(self.nodes, query, limit)
         known = self.entry_points.select(F.col("node_id").alias("qualified_name")).distinct().withColumn("is_entry_point", F.lit(True))
-        return hits.join(known, "qualified_name", "left").fillna(False, ["is_entry_point"]).orderBy("reg_ord").select("qualified_name", "name", short_path(F.col("file_path")).alias("file"), "type", "is_entry_point")
+        return hits.join(known, "qualified_name", "left").fillna(False, ["is_entry_point"]).orderBy("reg_ord").select("qualified_name", "name", short_path(F.col("file_path")).alias("file"), "line_start", "type", "is_entry_point")
 
     def callers(self, name: str) -> DataFrame:
         return self.edges.where(F.col("callee") == self.find(name)).orderBy("edge_ord").select("caller", "line", "is_cross_file", "condition")
@@ -97,8 +102,21 @@ class Engine:
         return {"target": qualified_name, "callers": [r.asDict() for r in rows.collect()]}
 
     def search_payload(self, query: str, limit: int = 20) -> dict:
+        """At most 100 hits; nothing is asked for by an empty query, and nothing found."""
+        if not query:
+            return {"query": "", "results": []}
         return {"query": query, "results": [r.asDict() for r in self.search(query, min(limit, 100)).collect()]}
 
+    def graph_route(self, name: str, depth: int = 5) -> dict:
+        """What a server answers for a qualified name: its trace, its callers if ``/callers`` follows, or an error."""
+        if not 1 <= depth <= 10:
+            raise ValueError("depth must be 1 to 10")
+        if name.endswith("/callers"):
+            return self.callers_payload(name.rsplit("/callers", 1)[0])
+        if not self.nodes.where(F.col("qualified_name") == name).limit(1).count():
+            return {"error": f"Function '{name}' not found", "nodes": {}, "edges": []}
+        return self.graph_trace(name, depth)
+
     # ---- flows
 
     def _ids(self) -> DataFrame:
@@ -109,7 +127,8 @@ class Engine:
         return group.group_stats(group.domain_groups(self._ids()), self.edges).orderBy(F.desc("count"), "first")
 
     def trace(self, name: str, depth: int = 10) -> dict:
-        return self.graph_trace(self.find(name), depth)
+        """The trace for files: without conditions, branches and flags."""
+        return reports.trace_payload(self, self.find(name), depth, conditions=False)
 
     def graph_trace(self, qualified_name: str, depth: int = 5) -> dict:
         """The payload of a depth-first trace: nodes, edges, metadata."""
@@ -136,9 +155,11 @@ class Engine:
     def prompt(self, name: str, depth: int = 5) -> str:
         return reports.narration_prompt(self, self.find(name), depth)
 
+    def explain(self, by: reports.Provider, name: str | None = None, depth: int = 5) -> dict:
+        return reports.explain(self, by, None if name is None else self.find(name), depth)
+
     def skeleton(self) -> str:
         return reports.skeleton(self)
 
     def write_trace(self, name: str, path: str, depth: int = 10) -> None:
-        with open(path, "w") as f:
-            json.dump(self.trace(name, depth), f, indent=2, default=str)
+        files.write(path, json.dumps(self.trace(name, depth), indent=2, default=str).encode())

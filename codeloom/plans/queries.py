@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names as fn
 from ..operators import detectors, graph, group
 from ..operators import index as ix
+from ..operators import resolve
 from ..operators.resolve import best_candidate
-from . import roundtrip
+from ..schemas import FUNCTION
+from ..sources import store
+from ..sources.parse import Tables
+from . import golden, roundtrip
 from .tabular import CUSTOMER, CUSTOMERS, EDGES, NODES, PLACES, SUPPLIER, View, _pad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_WITH = f"WITH nodes AS ({NODES}), edges AS ({EDGES}), customers AS ({CUSTOMERS}) "
+_WITH = f"WITH nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED ({EDGES}), customers AS MATERIALIZED ({CUSTOMERS}) "
 
 
 def query(sql: str | None):
@@ -45,7 +50,7 @@ def callees_of_customer(v: View) -> DataFrame:
     return graph.callees(v.edges(), v.sql(CUSTOMERS)).select("caller", "callee", "name", "edge_ord")
 
 
-@query(_WITH + "SELECT n.qualified_name, '@' || n.label AS trigger FROM nodes n WHERE n.type <> 'class' AND n.label <> 'MACHINERY' AND n.qualified_name NOT IN (SELECT qn FROM customers WHERE c_mktsegment = 'BUILDING') AND n.qualified_name IN (SELECT caller FROM edges) AND n.qualified_name NOT IN (SELECT callee FROM edges)")
+@query(_WITH + "SELECT n.qualified_name, '@' || n.label AS trigger FROM nodes n WHERE n.type <> 'class' AND n.label <> 'MACHINERY' AND NOT EXISTS (SELECT 1 FROM customers WHERE qn = n.qualified_name AND c_mktsegment = 'BUILDING') AND EXISTS (SELECT 1 FROM edges WHERE caller = n.qualified_name) AND NOT EXISTS (SELECT 1 FROM edges WHERE callee = n.qualified_name)")
 def topology_entries(v: View) -> DataFrame:
     known = v.sql(f"SELECT qn AS node_id FROM ({CUSTOMERS}) WHERE c_mktsegment = 'BUILDING'")
     return graph.discover(v.nodes(), v.edges(), known, ("MACHINERY",)).select("qualified_name", "trigger")
@@ -75,10 +80,13 @@ def simple_paths_depth3(v: View) -> DataFrame:
     return graph.paths(v.edges(), v.sql(CUSTOMERS), 3).select("root", F.array_join("path", ">").alias("path"), "ends", "level")
 
 
-@query(_WITH.rstrip() + _LEVELS + ", inside AS (SELECT qn AS root, qn AS node FROM customers UNION SELECT * FROM l1 UNION SELECT * FROM l2) SELECT root, caller, callee, edge_ord FROM inside JOIN edges ON caller = node")
+@query(_WITH.rstrip() + _LEVELS + ", inside AS (SELECT qn AS root, qn AS node FROM customers UNION SELECT * FROM l1 UNION SELECT * FROM l2), h AS MATERIALIZED (SELECT caller, callee, edge_ord, CAST('0x' || substr(md5(edge_ord), 1, 8) AS BIGINT) AS h FROM edges) SELECT root, count(*) AS n_edges, count(DISTINCT callee) AS n_callees, min(edge_ord) AS first_edge, max(edge_ord) AS last_edge, CAST(sum(h) AS BIGINT) AS hash FROM inside JOIN h ON caller = node GROUP BY root")
 def dfs_edges(v: View) -> DataFrame:
-    """In these tables a node has one distance from a root, so depth-first and breadth-first see the same edges."""
-    return graph.dfs(v.edges(), v.sql(CUSTOMERS), 3).select("root", "caller", "callee", "edge_ord")
+    """A row for each root with what tells its edges. In these tables a node has one distance from a root, so depth-first
+    and breadth-first see the same ones."""
+    walked = graph.dfs(v.edges(), v.sql(CUSTOMERS), 3)
+    h = F.conv(F.substring(F.md5("edge_ord"), 1, 8), 16, 10).cast("long")
+    return walked.groupBy("root").agg(F.count("*").alias("n_edges"), F.count_distinct("callee").alias("n_callees"), F.min("edge_ord").alias("first_edge"), F.max("edge_ord").alias("last_edge"), F.sum(h).alias("hash"))
 
 
 @query(f"SELECT 's.' || CAST(s_suppkey AS STRING) AS class, m.c_mktsegment AS method, CASE WHEN bool_or(m.n_name = p.n_name) THEN 'n.' || p.n_name ELSE 'r.' || p.r_name END AS owner FROM (SELECT * FROM supplier JOIN {PLACES} ON s_nationkey = n_nationkey) p JOIN (SELECT DISTINCT c_mktsegment, n_name, r_name FROM ({CUSTOMERS}) WHERE c_acctbal > 5000) m ON m.r_name = p.r_name GROUP BY s_suppkey, m.c_mktsegment, p.n_name, p.r_name")
@@ -141,14 +149,20 @@ def name_rank_lookup(v: View) -> DataFrame:
 @query(f"SELECT c.n_name AS nation, count(*) FILTER (s.n_name <> c.n_name) AS cross_file, count(*) FILTER (s.n_name = c.n_name) AS same_file FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN ({CUSTOMERS}) c ON o_custkey = c.c_custkey JOIN (SELECT s_suppkey, n_name FROM supplier JOIN {PLACES} ON s_nationkey = n_nationkey) s ON l_suppkey = s.s_suppkey GROUP BY c.n_name")
 def edge_cross_group(v: View) -> DataFrame:
     rows = v.sql(f"SELECT c.n_name AS nation, c.r_name || '.' || c.n_name AS module_path, s.q AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN ({CUSTOMERS}) c ON o_custkey = c.c_custkey JOIN (SELECT s_suppkey, {SUPPLIER} AS q FROM supplier JOIN {PLACES} ON s_nationkey = n_nationkey) s ON l_suppkey = s.s_suppkey")
-    crosses = ~F.col("callee").startswith(F.concat("module_path", F.lit(".")))
-    return rows.groupBy("nation").agg(F.count_if(crosses).alias("cross_file"), F.count_if(~crosses).alias("same_file"))
+    calls = rows.selectExpr("*", "'f' AS file_path", "0 AS func_ord", "-1 AS branch", "0 AS call_ord", "nation AS caller", "CAST(NULL AS STRING) AS condition", "'x' AS name", "CAST(NULL AS STRING) AS receiver", "1 AS line", "0 AS args_count", "false AS is_method_call", "false AS is_async_dispatch", "CAST(NULL AS STRING) AS async_type", "70 AS priority")
+    return resolve.edges(calls).groupBy(F.col("caller").alias("nation")).agg(F.count_if("is_cross_file").alias("cross_file"), F.count_if(~F.col("is_cross_file")).alias("same_file"))
 
 
 @query("SELECT CASE WHEN l_linestatus = 'F' THEN 'else' ELSE 'flag == ' || l_returnflag END AS condition, count(*) AS n FROM lineitem GROUP BY 1")
 def edge_condition(v: View) -> DataFrame:
-    rows = v.sql("SELECT l_linestatus = 'F' AS is_else, 'flag == ' || l_returnflag AS text FROM lineitem")
-    return rows.select(F.when(F.col("is_else"), F.lit("else")).otherwise(F.col("text")).alias("condition")).groupBy("condition").agg(F.count("*").alias("n"))
+    """Every order is a function, every line a branch of it with one call."""
+    branch = "named_struct('condition', 'flag == ' || l_returnflag, 'line', 1, 'is_else', l_linestatus = 'F', 'calls', array(named_struct('name', 'f', 'receiver', CAST(NULL AS STRING), 'is_method_call', false, 'args_count', 0, 'line', 1)))"
+    orders = v.sql(f"SELECT CAST(l_orderkey AS STRING) AS file_path, collect_list({branch}) AS branches FROM lineitem GROUP BY l_orderkey")
+    empty = {"qualified_name": "file_path", "branches": "branches"}
+    kind = T._parse_datatype_string(FUNCTION)
+    body = ", ".join(f"'{x.name}', {empty.get(x.name) or f'CAST(NULL AS {x.dataType.simpleString()})'}" if x.name != "calls" else f"'calls', CAST(array() AS {x.dataType.simpleString()})" for x in kind.fields)
+    parsed = orders.selectExpr("file_path", "'m' AS module_path", "CAST(NULL AS STRING) AS parse_error", f"array(named_struct({body})) AS functions")
+    return Tables(parsed, keep=False).calls.groupBy("condition").agg(F.count("*").alias("n"))
 
 
 _NAMES = ("print", "get", "error", "format", "append", "checkout", "delay", "chain", "apply_async", "si")
@@ -249,17 +263,24 @@ def line_snippet(v: View) -> DataFrame:
 
 @query("SELECT event_type, max(ts) <= (SELECT max(ts) FROM events WHERE event_type = 'view') AS fresh FROM events GROUP BY event_type")
 def freshness_by_source(v: View) -> DataFrame:
-    limit = v.sql("SELECT max(ts) AS written FROM events WHERE event_type = 'view'")
-    return v.sql("SELECT event_type, ts FROM events").groupBy("event_type").agg(F.max("ts").alias("newest")).crossJoin(limit).select("event_type", (F.col("newest") <= F.col("written")).alias("fresh"))
+    """Events of a type are the files of a source; the graph was written when the last view happened."""
+    files = v.sql("SELECT event_type, CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 1e6 AS mtime FROM events")
+    written_at = files.where("event_type = 'view'").agg(F.max("mtime")).first()[0]
+    kinds = [r[0] for r in files.select("event_type").distinct().collect()]  # a handful
+    return v.spark.createDataFrame([(k, store.is_fresh(files.where(F.col("event_type") == k), written_at)) for k in kinds], "event_type string, fresh boolean")
 
 
 # ---- aggregates and reports
 
 
-@query(_WITH + "SELECT (SELECT count(*) FROM nodes) AS functions, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM customers) AS entry_points")
+@query(_WITH + "SELECT (SELECT count(*) FROM nation) AS modules, (SELECT count(*) FROM nodes) AS functions, (SELECT count(*) FROM customers) AS entry_points, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS unresolved")
 def totals(v: View) -> DataFrame:
-    n, e, p = (df.agg(F.count("*").alias(name)) for df, name in ((v.nodes(), "functions"), (v.edges(), "edges"), (v.sql(CUSTOMERS), "entry_points")))
-    return n.crossJoin(e).crossJoin(p)
+    return v.engine().totals()
+
+
+@query(f"SELECT r_name || '.' || n_name AS module_path, CAST(n_nationkey AS INTEGER) AS functions, 0 AS classes, CAST(r_regionkey AS INTEGER) AS imports, n_name AS file_path FROM {PLACES}")
+def module_table(v: View) -> DataFrame:
+    return v.engine().modules_report()
 
 
 @query(_WITH + "SELECT caller, count(*) AS n FROM edges GROUP BY caller ORDER BY n DESC, min(edge_ord) LIMIT 10")
@@ -357,20 +378,16 @@ def search_limit(v: View) -> DataFrame:
     return graph.search(v.nodes(), "NATION_1.Cust", 20).select("qualified_name", "type")
 
 
-@query(f"SELECT type, trigger, split_part(node_id, '.', 3) AS function FROM ({_ENTRIES}) ORDER BY type, trigger, node_id")
+@query(f"SELECT type, trigger, split_part(node_id, '.', 3) AS function, type AS description, node_id FROM ({_ENTRIES})")
 def entries_sorted(v: View) -> DataFrame:
-    return v.sql(_ENTRIES).select("type", "trigger", fn.last_part(F.col("node_id")).alias("function"), "node_id").orderBy("type", "trigger", "node_id").drop("node_id")
+    return v.engine().entries()
 
 
 @query(f"SELECT type, node_id, trigger, split_part(node_id, '.', 1) || '.' || split_part(node_id, '.', 2) AS module FROM ({_ENTRIES})")
 def overview(v: View) -> DataFrame:
-    return v.sql(_ENTRIES).select("type", "node_id", "trigger", fn.parent(F.col("node_id")).alias("module"))
-
-
-@query("SELECT n FROM (SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900))")
-def union_diff_distinct(v: View) -> DataFrame:
-    rows = v.sql("SELECT s_nationkey AS n FROM supplier").join(v.sql("SELECT c_nationkey AS n FROM customer WHERE c_acctbal < -900"), "n", "left_anti")
-    return v.sql("SELECT c_nationkey AS n FROM customer").unionAll(rows)
+    """The payload's entry points; it holds all of them by design."""
+    got = v.engine().overview()["entry_points_by_type"]
+    return v.spark.createDataFrame([(r["type"], r["node_id"], r["trigger"], r["module"]) for rows in got.values() for r in rows], "type string, node_id string, trigger string, module string")
 
 
 # ---- source code, rendered from the tables and parsed again
@@ -389,3 +406,7 @@ def golden_edges(v: View) -> DataFrame:
 @query(roundtrip.DETECTED_SQL)
 def golden_entry_points(v: View) -> DataFrame:
     return roundtrip.detected(v.spark)
+
+
+QUERIES |= golden.QUERIES
+ORACLES |= golden.ORACLES

@@ -5,9 +5,14 @@ The view texts are valid in Spark SQL and DuckDB alike.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
+
 CUSTOMER = "r_name || '.' || n_name || '.cust' || CAST(c_custkey AS STRING)"
 SUPPLIER = "r_name || '.' || n_name || '.supp' || CAST(s_suppkey AS STRING)"
 PLACES = "(SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey) AS places"
@@ -40,18 +45,28 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class View:
-    """Tables of one folder; ``sql`` sees them under their own names."""
+    """Tables of one folder; ``sql`` sees them under their own names, the session under names of this view alone."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        self._names = {}
         for t in TABLES:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            self._names[t] = f"codeloom_{t}_{zlib.crc32(sf_dir.encode()):08x}"
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(self._names[t])
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text)
+        # a table is named after FROM, JOIN or a comma only
+        return self.spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", lambda m: f"{m[1]} {self._names[m[2]]}", text))
 
     def nodes(self) -> DataFrame:
         return self.sql(NODES).withColumn("decorators", F.array("label"))
 
     def edges(self) -> DataFrame:
         return self.sql(EDGES)
+
+    def engine(self) -> Engine:
+        """An engine over the views: nations are modules, customers entry points, late lines unresolved calls."""
+        entries = self.sql(f"SELECT qn AS node_id, c_mktsegment AS type, 'GET /' || n_name AS trigger, {_pad('c_custkey')} AS ep_ord, c_mktsegment AS description FROM ({CUSTOMERS})")
+        modules = self.sql(f"SELECT r_name || '.' || n_name AS module_path, n_name AS file_path, CAST(n_nationkey AS INT) AS n_functions, 0 AS n_classes, CAST(r_regionkey AS INT) AS n_imports FROM {PLACES}")
+        late = self.sql("SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
+        return Engine(self.spark, {"modules": modules, "functions": self.nodes(), "registry": self.nodes(), "edges": self.edges(), "unresolved": late, "entry_points": entries}, "tables")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.names import async_type
 from ..schemas import PARSED
 from ..storage import written
+from .adapters import ADAPTERS, Adapters
+from .files import opened
 from .listing import module_path
 from .pyparse import parse_rows
 
@@ -22,17 +24,18 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def parse_texts(files: DataFrame) -> DataFrame:
-    """files (path, module_path, text) -> a PARSED row each; null texts are empty modules."""
+def parse_texts(files: DataFrame, adapters: Adapters = ADAPTERS) -> DataFrame:
+    """files (path, module_path, text) -> a PARSED row each; null texts are empty modules. The text may be of bytes,
+    which must be UTF-8. Files of an unknown extension give no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield _frame(list(parse_rows(zip(pdf["path"], pdf["module_path"], pdf["text"].fillna("")))))
+            yield _frame(list(parse_rows(zip(pdf["path"], pdf["module_path"], (x if isinstance(x, (str, bytes)) else bytes(x) if isinstance(x, bytearray) else "" for x in pdf["text"])), adapters)))
 
     return files.select("path", "module_path", "text").mapInPandas(run, PARSED)
 
 
-def parse_listing(files: DataFrame, partitions: int | None = None) -> DataFrame:
+def parse_listing(files: DataFrame, partitions: int | None = None, adapters: Adapters = ADAPTERS) -> DataFrame:
     """A listing -> PARSED rows; the bytes are read where they are parsed, from a file system that all see.
 
     Files are dealt out by path, so that large neighbours part.
@@ -40,13 +43,14 @@ def parse_listing(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
     def contents(pdf: pd.DataFrame) -> Iterator[tuple[str, str, bytes]]:
         for path, module in zip(pdf["path"], pdf["module_path"]):
-            with open(path, "rb") as f:
+            system, name = opened(path)
+            with system.open_input_stream(name, compression=None) as f:
                 yield path, module, f.read()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 200):
-                yield _frame(list(parse_rows(contents(pdf.iloc[i : i + 200]))))
+                yield _frame(list(parse_rows(contents(pdf.iloc[i : i + 200]), adapters)))
 
     spread = files.withColumn("module_path", module_path(F.col("rel_path"))).repartition(partitions or files.sparkSession.sparkContext.defaultParallelism * 4, "path")
     return spread.mapInPandas(run, PARSED)
@@ -78,7 +82,7 @@ class Tables:
 
     @cached_property
     def branches(self) -> DataFrame:
-        return self._bodies.select("file_path", "module_path", "func_ord", F.col("f.qualified_name").alias("qualified_name"), F.posexplode("f.branches").alias("branch_ord", "b")).select("file_path", "module_path", "func_ord", "qualified_name", "branch_ord", "b.condition", "b.line", "b.is_else", F.transform("b.calls", lambda c: c["name"]).alias("calls"))
+        return self._bodies.select("file_path", "module_path", "func_ord", F.col("f.qualified_name").alias("qualified_name"), F.posexplode("f.branches").alias("branch_ord", "b")).select("file_path", "module_path", "func_ord", "qualified_name", "branch_ord", "b.condition", "b.line", "b.is_else", F.transform("b.calls", lambda c: F.struct(c["name"].alias("name"), c["receiver"].alias("receiver"), async_type(c["name"], c["is_method_call"]).isNotNull().alias("is_async"))).alias("calls"))
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -253,12 +253,16 @@ def parse_source(text: str, module_path: str) -> dict:
     return {"functions": m.functions, "classes": list(m.classes.values()), "n_classes": m.n_classes, "imports": m.imports, "module_types": m.types, "file_hash": file_hash}
 
 
-def parse_rows(files: Iterator[tuple[str, str, bytes | str]]) -> Iterator[dict]:
-    """(path, module_path, content) -> a module row each; a failure gives a row with parse_error and nothing else."""
+def parse_rows(files: Iterator[tuple[str, str, bytes | str]], adapters=None) -> Iterator[dict]:
+    """(path, module_path, content) -> a module row each, by the adapter of its extension (all as Python without
+    adapters); a failure gives a row with parse_error and nothing else."""
     for path, module_path, content in files:
+        adapter = adapters.get_adapter(path) if adapters else None
+        if adapters and adapter is None:
+            continue
         row = {"file_path": path, "module_path": module_path, "parse_error": None, "file_hash": None, "n_classes": 0, "functions": [], "classes": [], "imports": [], "module_types": {}}
         try:
             text = decoded(content) if isinstance(content, bytes) else content.replace("\r\n", "\n").replace("\r", "\n")
-            yield row | parse_source(text, module_path)
+            yield row | (adapter.parse if adapter else parse_source)(text, module_path)
         except ParseFailure as e:
             yield row | {"parse_error": str(e)}

@@ -1,50 +1,59 @@
-"""The stored graph: a Parquet table each, a JSON meta file, and the freshness test."""
+"""The stored graph: Parquet tables in a folder of their own for each version, a JSON file that names the version, and
+the freshness test. All of it lies on any file system that Spark and pyarrow share."""
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import sys
 import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files as fs
 from .listing import Config
 
-VERSION = 1
+VERSION = 2
 TABLES = ("modules", "functions", "registry", "branches", "calls", "imports", "edges", "unresolved", "entry_points", "annotations")
 
 
+def _meta_path(config: Config) -> str:
+    return f"{config.store.rstrip('/')}/meta.json"
+
+
 def save(config: Config, tables: Mapping[str, DataFrame]) -> None:
-    """Writes the tables beside the old ones, then the meta file; a stored graph is whole or absent."""
+    """Writes the tables as a new version, then the file that names it, then removes the old version: a reader finds
+    one whole version or the other."""
     started = time.time()
-    new = f"{config.store}.new"
-    shutil.rmtree(new, ignore_errors=True)
+    old = meta(config, any_key=True)
+    version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{new}/{name}")
-    with open(os.path.join(new, "meta.json"), "w") as f:
-        json.dump({"version": VERSION, "root": os.path.abspath(config.root), "key": config.key(), "written": started, "python": sys.version.split()[0]}, f)
-    shutil.rmtree(config.store, ignore_errors=True)
-    os.replace(new, config.store)
+        df.write.parquet(fs.for_spark(f"{config.store.rstrip('/')}/{version}/{name}"))
+    said = {"version": VERSION, "root": fs.absolute(config.root), "key": config.key(), "written": started, "tables": version, "python": sys.version.split()[0]}
+    fs.write(_meta_path(config), json.dumps(said).encode())
+    if old:
+        fs.remove(f"{config.store.rstrip('/')}/{old['tables']}")
 
 
-def meta(config: Config) -> dict | None:
+def meta(config: Config, any_key: bool = False) -> dict | None:
     """The meta file, or None if it is missing, broken, or of another version or configuration."""
     try:
-        with open(os.path.join(config.store, "meta.json")) as f:
-            out = json.load(f)
+        out = json.loads(fs.read(_meta_path(config)))
     except (OSError, ValueError):
         return None
-    return out if isinstance(out, dict) and out.get("version") == VERSION and out.get("key") == config.key() else None
+    good = isinstance(out, dict) and out.get("version") == VERSION and "tables" in out
+    return out if good and (any_key or out.get("key") == config.key()) else None
 
 
 def load(spark: SparkSession, config: Config) -> dict[str, DataFrame] | None:
-    if meta(config) is None or not all(os.path.isdir(os.path.join(config.store, t)) for t in TABLES):
+    said = meta(config)
+    paths = {t: f"{config.store.rstrip('/')}/{said['tables']}/{t}" for t in TABLES} if said else {}
+    if not said or not all(map(fs.exists, paths.values())):
         return None
-    return {t: spark.read.parquet(os.path.join(config.store, t)) for t in TABLES}
+    return {t: spark.read.parquet(fs.for_spark(p)) for t, p in paths.items()}
 
 
 def is_fresh(files: DataFrame, written_at: float | None) -> bool:
@@ -68,7 +77,7 @@ def changed(files: DataFrame, modules: DataFrame, hashed: DataFrame) -> DataFram
 
 def export_json(edges: DataFrame, path: str) -> None:
     """Edges as one JSON file, in order."""
-    edges.orderBy("edge_ord").coalesce(1).write.mode("overwrite").json(path)
+    edges.orderBy("edge_ord").coalesce(1).write.mode("overwrite").json(fs.for_spark(path))
 
 
 def remember(path: str, pointer: str) -> None:

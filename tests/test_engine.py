@@ -98,6 +98,7 @@ def test_questions(golden):
     assert {r["caller"] for r in golden.summary()["top_callers"].collect()} >= {"app.jobs.run", "app.jobs.store"}
     assert golden.scan().agg(F.sum("count")).first()[0] == 5
     assert [r["module_path"] for r in golden.modules_report().collect()] == sorted(roundtrip.GOLDEN)
+    assert golden.search_payload("")["results"] == []
     assert golden.search_payload("app", 500)["results"] and golden.callers_payload("app.jobs.run")["callers"][0]["qualified_name"] == "app.jobs.main"
 
 
@@ -105,7 +106,7 @@ def test_trace(golden, tmp_path):
     t = golden.trace("main", 10)
     assert t["entry_point"] == "app.jobs.main" and "app.shelf.Base.touch" in t["nodes"]
     assert t["metadata"]["async_boundaries"] == 2 and t["metadata"]["total_files"] == 4
-    assert t["nodes"]["app.jobs.run"]["branches"][0]["condition"] == "not check(row)"
+    assert golden.graph_trace("app.jobs.main", 10)["nodes"]["app.jobs.run"]["branches"][0]["condition"] == "not check(row)"
     short = golden.graph_trace("app.jobs.main", 1)
     assert [e["target"] for e in short["edges"]] == ["app.jobs.run"] and short["nodes"]["app.jobs.run"]["expandable"]
     golden.write_trace("main", str(tmp_path / "t.json"))

@@ -94,3 +94,21 @@ def test_broken_and_empty_modules(spark, found):
     assert found.nodes(BROKEN) == {}
     none = spark.createDataFrame([], "path string, module_path string, text string")
     assert set(Engine.from_texts(none).totals().first().asDict().values()) == {0}
+
+
+def test_ancestors_of_any_height(spark):
+    from codeloom.operators.index import mro
+
+    n = 40
+    bases = spark.createDataFrame([(f"C{i}", 0, f"C{i + 1}") for i in range(n)] + [(f"C{n}", 0, "C0")], "class string, base_ord int, base string")
+    found = {(r["class"], r["ancestor"]): r["level"] for r in mro(bases).collect()}
+    assert found["C0", f"C{n}"] == n and found["C0", "C0"] == n + 1 and len(found) == (n + 1) ** 2
+
+
+def test_instances_through_any_number_of_imports(spark):
+    n = 8
+    modules = {"k.m0": "class T:\n    def go(self): pass\nx = T()\n"} | {f"k.m{i}": f"from k.m{i - 1} import x as y\nx = y()\n" for i in range(1, n)}
+    modules["k.end"] = f"from k.m{n - 1} import x\ndef f():\n    x.go()\n"
+    files = spark.createDataFrame([(m.replace(".", "/") + ".py", m, t) for m, t in modules.items()], "path string, module_path string, text string")
+    got = {(r["caller"], r["callee"]) for r in Engine.from_texts(files).edges.collect()}
+    assert ("k.end.f", "k.m0.T.go") in got
