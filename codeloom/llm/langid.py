@@ -179,8 +179,9 @@ def _calibrated(model: Model, texts: list[str], rng: np.random.Generator) -> np.
 
 
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from about ``rows`` labelled rows of each language of docs."""
-    some = sampled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label")), "id", "label", rows).collect()
+    """A model from about ``rows`` distinct labelled rows of each of the shared.MOST_LABELS most common languages of
+    docs; None without one. Null and empty texts teach nothing, texts of any length are read whole."""
+    some = sampled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label")), "label", rows).collect()
     return train([r["text"] for r in some], [r["label"] for r in some])
 
 
@@ -188,8 +189,8 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     """(doc_id, language, confidence, known, rejected) for every row of docs.
 
     language is null where the text is rejected: it has no word (null and empty texts included), or is too
-    unlike what the model knows. Without a model (no labelled row) all are rejected. Null ids and repeated rows
-    are kept; other columns are not read.
+    unlike what the model knows. Without a model (no labelled row) all are rejected. Texts of any length are read
+    whole. Null ids and repeated rows are kept, ids keep their type; other columns are not read; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -204,7 +205,11 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the model doesn't reject, with the language found where ``lang_col`` is null."""
+    """The rows of docs that the model doesn't reject, with the language found where ``lang_col`` is null.
+
+    Texts that are null, empty or without a word are rejected, so an empty table stays empty and without a model nothing
+    stays; ids may be null, rows may repeat, columns may have any name and stay as they are.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

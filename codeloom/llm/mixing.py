@@ -81,7 +81,7 @@ def expected(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs
     weights, a source counts by its size to the power of POWER. Null is a source of its own, with a share by
     default only. Null and empty texts have no size: they are due as often as the rest of their source.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(POWER)))
@@ -131,7 +131,7 @@ def copies(due: DataFrame, seed: int = 0) -> DataFrame:
             left[at], p[at] = p[at], 0.0
         return pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "leaf": pdf["leaf"], "leaves": pdf["leaves"], "copies": (whole + p).astype("int64"), "rest": left})
 
-    first = written(rows.groupBy("source", "leaf").applyInPandas(round_leaf, "doc_id long, source string, leaf int, leaves long, copies long, rest double"), "leaves")
+    first = written(rows.groupBy("source", "leaf").applyInPandas(round_leaf, f"doc_id {due.schema['doc_id'].dataType.simpleString()}, source string, leaf int, leaves long, copies long, rest double"), "leaves")
     #: One row at most for each leaf: its number is the residual's name all the way up.
     node = first.where("rest > 0").select("source", "leaf", F.col("leaf").alias("node"), "rest", "leaves")
     most = first.agg(F.max("leaves")).first()[0] or 1

@@ -184,17 +184,24 @@ def parts(batches: Iterable[pa.RecordBatch], text: int | str, most: int = PART_B
         release()
 
 
-def sampled(rows: DataFrame, key: str, group: str, per_group: int) -> DataFrame:
-    """About per_group rows of each value of ``group``, chosen by a hash of ``key``; twice as many at most in all.
+#: Labels that a classifier learns, those with the most rows.
+MOST_LABELS = 1000
 
-    The only bounded read in this subpackage: it gives classifiers their labelled rows.
+
+def sampled(rows: DataFrame, group: str, per_group: int) -> DataFrame:
+    """About per_group distinct rows of each value of ``group``, chosen by a hash of the whole row; twice as many at
+    most in all, those of the least hashes.
+
+    The only bounded read in this subpackage: it gives classifiers their labelled rows. Of more than MOST_LABELS
+    values, those with the fewest rows are left out.
     """
-    counts = {r[0]: r[1] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(200).collect()}
+    counts = {r[0]: r[1] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(MOST_LABELS).collect()}
     if not counts:
         return rows.limit(0)
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, per_group / n)])
-    chosen = rows.where(F.col(group).isin(list(counts)) & (F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.element_at(share, F.col(group))))
-    return chosen.limit(2 * per_group * len(counts))
+    chance = F.xxhash64(F.lit(7), *rows.columns)
+    chosen = rows.where(F.col(group).isin(list(counts)) & (F.pmod(chance, F.lit(1_000_003)) / F.lit(1_000_003.0) < F.element_at(share, F.col(group))))
+    return chosen.distinct().orderBy(chance).limit(2 * per_group * len(counts))
 
 
 def with_ids(docs: DataFrame, id_col: str, text_col: str, fields: str) -> tuple[DataFrame, str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GOLD, hashed, mix, parts, text_hash, written
+from .shared import GOLD, discard, hashed, mix, parts, text_hash, with_ids, written
 
 BITS = 128
 MAX_DISTANCE = 9
@@ -78,7 +78,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(both[0::2]), pa.array(both[1::2])], names=["doc_id", "hi", "lo"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, hi long, lo long")
+    rows, schema = with_ids(docs, id_col, text_col, "hi long, lo long")
+    return rows.mapInArrow(run, schema)
 
 
 def segments(max_distance: int) -> list[tuple[int, int]]:
@@ -141,16 +142,17 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder after each round, so no lineage grows.
     """
     both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
+    rounds = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("new")), "labels")
     while True:
+        labels = rounds.select("node", F.col("new").alias("label"))
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         up = labels.select(F.col("node").alias("at"), F.col("label").alias("over"))
         new = labels.join(near, labels.node == near.u).join(up, labels.label == up["at"], "left").select("node", F.least("label", "near", "over").alias("new"), F.col("label").alias("old"))
-        new = written(new, "labels")
-        changed = new.where("new < old").limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        old, rounds = rounds, written(new, "labels")
+        discard(old)
+        if not rounds.where("new < old").limit(1).count():
+            discard(both)
+            return rounds.select("node", F.col("new").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +161,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, id_col: s
     Groups are the connected components of signatures within ``max_distance`` bits; the least id stays.
     Texts with the same set of lower-case words have the same signature and so form a group. Rows with a
     null id, and rows whose text is null, empty or white space, belong to no group. Rows that repeat an id
-    are one document: the id is compared by each of its texts, and never listed against itself. Other
-    columns are not read; an empty table gives no rows.
+    are one document: the id is compared by each of its texts, and never listed against itself. Ids keep their
+    type, texts of any length are read whole, other columns are not read; an empty table gives no rows.
     """
     sigs = written(signatures(docs, id_col, text_col), "signatures")
     reps = written(sigs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "representatives")
@@ -170,17 +172,20 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, id_col: s
     # an id with several texts ties their signatures together
     same = sigs.join(reps, ["hi", "lo"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     labels = components(edges.where("u <> v").unionByName(same))
+    discard(sigs, reps)
     return labels.where("node <> label").select(F.col("node").alias("doc_id"), F.col("label").alias("kept_doc_id"))
 
 
 def without_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents less those that ``near_duplicates`` lists; columns stay as they are.
 
-    Of rows that repeat both id and text, one stays; rows with a null id all stay.
+    Of rows that repeat both id and text, one stays; rows with a null id all stay. Only rows whose ids repeat are
+    compared by their texts. An empty table stays empty, columns may have any name.
     """
     gone = written(near_duplicates(docs, max_distance, id_col, text_col).select(F.col("doc_id").alias("gone_doc_id")), "duplicates")
-    n = gone.count()
-    known = docs.where(F.col(id_col).isNotNull())
-    if known.groupBy(id_col).count().where("count > 1").limit(1).count():
-        docs = known.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    twice = written(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice_doc_id")).count().where("count > 1").select("twice_doc_id"), "repeated-ids")
+    n, repeated = gone.count(), twice.count()
+    if repeated:
+        many = F.broadcast(twice) if repeated <= BROADCAST_ROWS else twice
+        docs = docs.join(many, docs[id_col] == many.twice_doc_id, "left_anti").unionByName(docs.join(many, docs[id_col] == many.twice_doc_id, "left_semi").dropDuplicates([id_col, text_col]))
     return docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, docs[id_col] == gone.gone_doc_id, "left_anti")

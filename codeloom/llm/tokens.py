@@ -16,9 +16,8 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import parts, worker_cache
+from .shared import parts, with_ids, worker_cache
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-token pattern.
@@ -99,4 +98,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
             n = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    rows, schema = with_ids(docs, id_col, text_col, "n_tokens long")
+    return rows.mapInArrow(run, schema)

@@ -208,19 +208,28 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((ranked[at] + (ranked[at + 1] if at + 1 < len(ranked) else 0.0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from about ``rows`` documents of each label."""
-    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
-    chosen = sampled(marked, "id", "label", rows).distinct()
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label").limit(8 * rows).collect()
-    return train([r["text"] for r in some], [r["label"] for r in some])
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str | None, int]]:
+    """Distinct (text, label) of about ``rows`` documents of each label, eight times ``rows`` at most: of more, as
+    repeated ids may give, those with the least hashes."""
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    chosen = sampled(marked, "label", rows)  # a bounded number
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label").distinct()
+    return [(r["text"], r["label"]) for r in some.orderBy(F.xxhash64("text"), "label").limit(8 * rows).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from about ``rows`` documents of each label (see ``labelled``), whose score ``penalty`` keeps from changing
+    when a term of one of the groups stands for another. Null and empty texts, and labels other than 0 and 1, teach
+    nothing; without documents of both labels nothing is toxic."""
+    some = labelled(docs, labels, rows, id_col, text_col, label_col)
+    return train([t for t, _ in some], [x for _, x in some], groups, penalty)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, toxic) for every row of docs; toxic is score >= the model's threshold.
 
-    Null, empty and wordless texts score 0 and aren't toxic. Null ids and repeated rows are kept; other columns
-    are not read. A model fitted without rows of both labels scores every document 0.5 and finds none toxic.
+    Null, empty and wordless texts score 0 and aren't toxic; texts of any length are scored whole. Null ids and repeated
+    rows are kept, ids keep their type; other columns are not read; an empty table gives no rows. A model fitted without rows of both labels scores every document 0.5 and finds none toxic.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
