@@ -5,14 +5,16 @@ Edges are (edge_ord, caller, callee, ...); the children of a node are its edges
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Levels, written
+from ..storage import Levels, stored, written
 
 NOISE = (
     "abstractmethod", "asynccontextmanager", "cached_method", "cached_property", "classmethod", "classproperty", "computed_field",
@@ -54,50 +56,80 @@ def discover(nodes: DataFrame, edges: DataFrame, known: DataFrame, noise: tuple[
     )
 
 
-class Numbered:
+class Graph:
     """A graph whose nodes are numbers: joins and distinct steps then shuffle two longs a row instead of two names.
 
-    ``nodes`` is (node, id), ``steps`` the distinct (caller, callee) as numbers, ``roots`` (root, id). A root that no
-    edge touches has a number too.
+    ``nodes`` is (node, id), ``steps`` the distinct (caller, callee) as numbers, ``known`` the edges with numbers of their
+    own and of their ends. All are written, once for the same frame of edges (``graph_of``).
     """
 
-    def __init__(self, edges: DataFrame, roots: DataFrame):
+    def __init__(self, edges: DataFrame):
+        self._edges = edges
         pairs = edges.select("caller", "callee").distinct()
-        start = roots.select(F.col(roots.columns[0]).alias("node")).where("node IS NOT NULL").distinct()
-        names = pairs.select(F.col("caller").alias("node")).unionAll(pairs.select("callee")).unionAll(start).where("node IS NOT NULL").distinct()
+        names = pairs.select(F.col("caller").alias("node")).unionAll(pairs.select("callee")).where("node IS NOT NULL").distinct()
         # written with its numbers: a task that runs again can't number anew
         self.nodes = written(names.withColumn("id", F.monotonically_increasing_id()), "node-numbers")
-        a, b = (self.nodes.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id")) for x in ("caller", "callee"))
-        self.steps = written(pairs.join(a, "caller").join(b, "callee").select(F.col("caller_id").alias("caller"), F.col("callee_id").alias("callee")), "steps")
-        self.roots = self.nodes.join(start, "node", "left_semi").select(F.col("node").alias("root"), "id")
+        self.steps = written(self._numbered(pairs).select(F.col("caller_id").alias("caller"), F.col("callee_id").alias("callee")), "steps")
 
-    def reach(self, depth: int) -> DataFrame:
-        """(root, node, distance) in numbers, written.
+    def _numbered(self, edges: DataFrame) -> DataFrame:
+        for end in ("caller", "callee"):
+            edges = edges.join(self.nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id")), end)
+        return edges
+
+    @cached_property
+    def known(self) -> DataFrame:
+        return written(self._numbered(self._edges.select("edge_ord", "caller", "callee")).withColumn("edge", F.monotonically_increasing_id()), "edge-numbers")
+
+    @property
+    def alive(self) -> bool:
+        return stored(self.nodes) and stored(self.steps) and ("known" not in self.__dict__ or stored(self.known))
+
+    def roots(self, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((root, id) of roots that are nodes, (root) of those that no edge touches)"""
+        start = roots.select(F.col(roots.columns[0]).alias("root")).where("root IS NOT NULL").distinct()
+        nodes = self.nodes.select(F.col("node").alias("root"), "id")
+        return start.join(nodes, "root"), start.join(nodes, "root", "left_anti")
+
+    def reach(self, roots: DataFrame, depth: int) -> DataFrame:
+        """(root, node, distance) in numbers, written, from (root, id).
 
         One join a level, from the nodes that the level before met first.
         """
         levels = Levels("reach")
-        last = levels.add(self.roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("distance")))
+        last = levels.add(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("distance")))
         for level in range(1, depth + 1):
             new = last.join(self.steps, last.node == self.steps.caller).select("root", F.col("callee").alias("node")).distinct()
             last = levels.add(new.join(levels.table().select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(level)))
-            if not last.limit(1).count():
+            if last.isEmpty():
                 break
-        return levels.closed()
+        return levels.table()
+
+
+_graphs: weakref.WeakKeyDictionary[DataFrame, Graph] = weakref.WeakKeyDictionary()
+
+
+def graph_of(edges: DataFrame) -> Graph:
+    """The numbered graph of a frame of edges, made when it is first asked for."""
+    if edges not in _graphs or not _graphs[edges].alive:
+        _graphs[edges] = Graph(edges)
+    return _graphs[edges]
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, distance) of all nodes within depth of each root, the root included at 0."""
-    g = Numbered(edges, roots)
-    near = g.reach(depth).withColumnRenamed("root", "root_id").withColumnRenamed("node", "id")
-    return near.join(g.nodes, "id").drop("id").join(g.roots.withColumnRenamed("id", "root_id"), "root_id").select("root", "node", "distance")
+    g = graph_of(edges)
+    known, lonely = g.roots(roots)
+    near = g.reach(known, depth).withColumnRenamed("root", "root_id").withColumnRenamed("node", "id")
+    named = near.join(g.nodes, "id").drop("id").join(known.withColumnRenamed("id", "root_id"), "root_id").select("root", "node", "distance")
+    return named.unionByName(lonely.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")))
 
 
 def reach_counts(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(root, reachable), the root counted."""
-    g = Numbered(edges, roots)
-    counts = g.reach(depth).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reachable"))
-    return counts.join(g.roots, "id").select("root", "reachable")
+    g = graph_of(edges)
+    known, lonely = g.roots(roots)
+    counts = g.reach(known, depth).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("reachable"))
+    return counts.join(known, "id").select("root", "reachable").unionByName(lonely.withColumn("reachable", F.lit(1).cast("long")))
 
 
 def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -125,17 +157,16 @@ def dfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     breadth-first set does. A root's neighbourhood within depth goes to one task, as numbers: a row for each node
     with its edges in order. That much of a hub must fit in one worker's memory; nothing else is gathered.
     """
-    g = Numbered(edges, roots)
-    near = g.reach(max(0, depth - 1)).select("root", F.col("node").alias("caller"))
-    a, b = (g.nodes.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id")) for x in ("caller", "callee"))
+    g = graph_of(edges)
+    known, _ = g.roots(roots)
+    near = g.reach(known, max(0, depth - 1)).select("root", F.col("node").alias("caller"))
     # edges get numbers in their order within a caller's list
-    known = written(edges.select("edge_ord", "caller", "callee").join(a, "caller").join(b, "callee").withColumn("edge", F.monotonically_increasing_id()), "edge-numbers")
-    lists = known.groupBy(F.col("caller_id").alias("caller")).agg(F.array_sort(F.collect_list(F.struct("edge_ord", "edge", F.col("callee_id").alias("to")))).alias("x"))
+    lists = g.known.join(near.select(F.col("caller").alias("caller_id")).distinct(), "caller_id", "left_semi").groupBy(F.col("caller_id").alias("caller")).agg(F.array_sort(F.collect_list(F.struct("edge_ord", "edge", F.col("callee_id").alias("to")))).alias("x"))
     lists = lists.select("caller", F.transform("x", lambda x: x["edge"]).alias("edges"), F.transform("x", lambda x: x["to"]).alias("to"))
     sub = near.join(lists, "caller").select("root", "caller", "edges", "to").repartition("root").sortWithinPartitions("root")
     walked = sub.mapInArrow(_walks(depth), "root long, seq int, edge long")
-    named = walked.join(known.select("edge", "edge_ord", "caller", "callee"), "edge")
-    return named.join(g.roots.select(F.col("id").alias("root_id"), F.col("root").alias("name")), F.col("root") == F.col("root_id")).select(F.col("name").alias("root"), "seq", "edge_ord", "caller", "callee")
+    named = walked.join(g.known.select("edge", "edge_ord", "caller", "callee"), "edge").withColumnRenamed("root", "id")
+    return named.join(known, "id").select("root", "seq", "edge_ord", "caller", "callee")
 
 
 def _walk(root: int, edges: dict[int, list[int]], to: dict[int, list[int]], depth: int) -> list[int]:

@@ -51,6 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored(table: DataFrame) -> bool:
+    """Whether a written table is still there."""
+    return _paths.get(table) in _live
+
+
 def _remove(paths: list[str]) -> None:
     for path in paths:
         spark = _live.pop(path, None)
