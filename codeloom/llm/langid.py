@@ -5,9 +5,10 @@ is the mean of its features' embeddings; a linear softmax over it gives the lang
 by stochastic gradient descent in numpy. Since the mean is linear, embeddings times output weights make one
 small table, and a text needs only sums over that table.
 
-A text is rejected when its confidence, or the share of its features that training has seen, is below what
-held-out texts reach: all but QUANTILE of them and of runs of their words of its length, and no more than all but
-QUANTILE of whole held-out texts of any length from 16 words.
+A text is rejected when its confidence, or the share of its features that training has seen, is below a threshold
+for its length. The thresholds are calibrated on held-out texts and runs of their words: each is what all but QUANTILE of
+them reach, or, where that is less, what all but MISSED of texts that should be rejected stay below: those in languages
+that a model trained for this was not shown, and the held-out ones with their words' letters shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ ORDERS = (1, 4)
 TRAINING_ROWS = 200
 #: Share of held-out texts that confidence, and known share, may reject.
 QUANTILE = 0.005
+#: Share of texts in unknown languages, and of shuffled ones, that one of the two thresholds may let pass.
+MISSED = 0.005
+#: Models trained without a part of the languages, at most.
+FOLDS = 4
 _PIECE_WORDS = 24
 _CLASSES = 12  # of text lengths, by powers of two
 _WHOLE = 4
@@ -91,6 +96,9 @@ def length_class(words: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(words, 1)).astype(int), _CLASSES - 1)
 
 
+Row = tuple[str, str]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.1, seed: int = 0) -> Model | None:
     """A model from labelled texts; a quarter of them is held out for calibration. None without any text."""
     rng = np.random.default_rng(seed)
@@ -98,13 +106,20 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     rows = [rows[i] for i in rng.permutation(len(rows))]
     if not rows:
         return None
-    held = len(rows) // 4
+    held, own = rows[: len(rows) // 4], rows[len(rows) // 4 :]
+    model = learnt(own, epochs, rate, rng)
+    model.least = _calibrated(model, held, own, epochs, rate, rng)
+    return model
+
+
+def learnt(rows: list[Row], epochs: int, rate: float, rng: np.random.Generator) -> Model:
+    """A model of (label, text) rows that rejects nothing."""
     languages = sorted({label for label, _ in rows})
     number = {x: i for i, x in enumerate(languages)}
     # pieces of whole texts, as word numbers
     features, words_of, targets = [], [], []
     at = 0
-    for label, text in rows[held:]:
+    for label, text in rows:
         w = Words([text])
         if len(w.hashes):
             bucket, owner = _buckets(w, np.arange(len(w.hashes)))
@@ -145,37 +160,58 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
                     past = had[id(value)]
                     past[at_] += s * s
                     value[at_] -= step * s / np.sqrt(past[at_] + 1e-8)
-    model = Model(languages, np.column_stack([embed @ weights, seen]), bias, np.zeros((_CLASSES, 2)))
-    model.least = _calibrated(model, [t for _, t in rows[:held]], rng)
-    return model
-
+    return Model(languages, np.column_stack([embed @ weights, seen]), bias, np.zeros((_CLASSES, 2)))
 
-def _calibrated(model: Model, texts: list[str], rng: np.random.Generator) -> np.ndarray:
-    """By class of length, what all but QUANTILE of held-out texts reach.
 
-    Whole texts and runs of their words give it. Long classes have few of either, so that their worst one would be the
-    threshold: none is above what all but QUANTILE of the whole texts of 1 << _WHOLE words or more, together, reach.
-    """
-    runs = list(texts)
+def _runs(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Runs of the texts' words, of every length class."""
+    out = []
     for text in texts:
         tokens = text.split()
         for c in range(_CLASSES):
             if len(tokens) >= 1 << c:
                 for at in rng.integers(0, len(tokens) - (1 << c) + 1, 3):
-                    runs.append(" ".join(tokens[at : at + (1 << c)]))
+                    out.append(" ".join(tokens[at : at + (1 << c)]))
+    return out
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    return " ".join("".join(rng.permutation(list(w))) for w in text.split())
+
+
+def _calibrated(model: Model, held: list[Row], own: list[Row], epochs: int, rate: float, rng: np.random.Generator) -> np.ndarray:
+    """By class of length, the least confidence and the least known share.
+
+    Long classes have few texts, so that their worst one would be the threshold: none is above what all but QUANTILE of
+    the whole texts of 1 << _WHOLE words or more, together, reach.
+    """
+    texts = [t for _, t in held]
     least = np.zeros((_CLASSES, 2))
-    if runs:
-        _, p, known, c = model.judged(model.sums(runs))
-        reached = np.column_stack([p, known])
-        for k in range(_CLASSES):
-            if (c == k).any():
-                least[k] = np.quantile(reached[c == k], QUANTILE, axis=0)
-            elif k:
-                least[k] = least[k - 1]
-        whole = np.flatnonzero(c[: len(texts)] >= _WHOLE)
-        if len(whole):
-            least = np.minimum(least, np.quantile(reached[whole], QUANTILE, axis=0))
-    return least
+    if not texts:
+        return least
+    _, p, known, c = model.judged(model.sums(texts + _runs(texts, rng)))
+    reached = np.column_stack([p, known])
+    wrong = [_judged_runs(model, [_shuffled(t, rng) for t in texts], rng)]
+    folds = [model.languages[i::FOLDS] for i in range(FOLDS) if model.languages[i::FOLDS]]
+    for out in folds if len(model.languages) > 1 else ():
+        unknown = [t for label, t in held if label in out]
+        if unknown:
+            wrong.append(_judged_runs(learnt([r for r in own if r[0] not in out], epochs, rate, rng), unknown, rng))
+    bad, bad_class = np.concatenate([x for x, _ in wrong]), np.concatenate([k for _, k in wrong])
+    for k in range(_CLASSES):
+        if (c == k).any():
+            least[k] = np.quantile(reached[c == k], QUANTILE, axis=0)
+            if (bad_class == k).any():
+                least[k] = np.minimum(least[k], np.quantile(bad[bad_class == k], 1 - MISSED, axis=0) + 1e-9)
+        elif k:
+            least[k] = least[k - 1]
+    whole = np.flatnonzero(c[: len(texts)] >= _WHOLE)
+    return np.minimum(least, np.quantile(reached[whole], QUANTILE, axis=0)) if len(whole) else least
+
+
+def _judged_runs(model: Model, texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    _, p, known, c = model.judged(model.sums(texts + _runs(texts, rng)))
+    return np.column_stack([p, known]), c
 
 
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:

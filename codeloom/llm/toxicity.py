@@ -9,7 +9,9 @@ by heart.
 
 In every labelled sentence with an identity term, the term is swapped for others of its group, a neutral word
 among them, and the squared change of the logit is penalised: so a mention of a group moves the score as
-little as a mention of "people" does.
+little as a mention of "people" does. Since a corpus may mention few of the groups, or none in its labelled part, a
+share of the training documents, clean and toxic alike, gets a mention planted into one sentence. What the penalty does
+is measured on held-out documents, with a model trained without it.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ TRAINING_ROWS = 700
 SMOOTHING = 40
 #: Weight of the counterfactual penalty.
 PENALTY = 1.0
+#: Share of training documents of either label that get a planted mention.
+MENTIONS = 0.2
 #: Groups of words that may stand for each other; the first of each is neutral.
 IDENTITY_TERMS = (
     ("people", "women", "men", "muslims", "christians", "jews", "hindus", "atheists", "immigrants", "refugees", "gays", "lesbians", "blacks", "whites", "asians", "africans", "latinos", "arabs", "teenagers", "pensioners"),
@@ -43,8 +47,8 @@ IDENTITY_TERMS = (
 )
 _ENDS = np.array([ord(c) for c in ".!?\n…"], np.uint32)
 
-FOUND = "score double, toxic boolean"
-_FOUND = [("score", pa.float64()), ("toxic", pa.bool_())]
+FOUND = "score double, toxic boolean, swap_change double"
+_FOUND = [("score", pa.float64()), ("toxic", pa.bool_()), ("swap_change", pa.float64())]
 
 
 class Sentences:
@@ -105,23 +109,73 @@ class Model:
     weights: np.ndarray
     bias: float
     threshold: float
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The worst sentence's probability for each text, 0 for a text without words."""
-        out = np.zeros(len(texts))
+    #: Sorted hashes of identity terms, and how much a sentence's logit changes at most when one stands for another.
+    terms: np.ndarray
+    changes: np.ndarray
+    #: Mean change of a planted term's logit on held-out documents: of this model, and of one trained without penalty.
+    swap_change: float = 0.0
+    plain_swap_change: float = 0.0
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, the worst sentence's probability, 0 without words, and the largest change of a sentence's logit
+        when one of the text's identity terms stands for another of its group, 0 without one."""
+        out, change = np.zeros(len(texts)), np.zeros(len(texts))
         for start, end in steps(texts):
             group = texts[start:end]
             if end - start == 1 and group[0] and len(group[0]) > STEP_CHARS:
-                group = pieces(group[0])
-                out[start] = self._scores(group).max()
+                p, c = self._scores(sentence_pieces(group[0]))
+                out[start], change[start] = p.max(), c.max()
             else:
-                out[start:end] = self._scores(group)
-        return out
+                out[start:end], change[start:end] = self._scores(group)
+        return out, change
 
-    def _scores(self, texts: list[str | None]) -> np.ndarray:
+    def _scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         s = Sentences(texts)
+        change = np.zeros(len(texts))
+        if len(self.terms) and len(s.hashes):
+            at = np.minimum(np.searchsorted(self.terms, s.hashes), len(self.terms) - 1)
+            of_word = np.where(self.terms[at] == s.hashes, self.changes[at], 0.0)
+            np.maximum.at(change, s.doc[s.sentence], of_word[s.word])
         with np.errstate(over="ignore"):
-            return 1 / (1 + np.exp(-s.worst(s.logits(self.weights, self.bias), len(texts))))
+            return 1 / (1 + np.exp(-s.worst(s.logits(self.weights, self.bias), len(texts)))), change
+
+
+def sentence_pieces(text: str) -> list[str]:
+    """A very long text in pieces that end with a sentence, so that none is scored in parts; a sentence that is itself
+    longer than STEP_CHARS is cut between words."""
+    out, start = [], 0
+    while len(text) - start > STEP_CHARS:
+        end = max(text.rfind(chr(c), start, start + STEP_CHARS) for c in _ENDS.tolist()) + 1
+        if end <= start:
+            nearest = [x for c in _ENDS.tolist() if (x := text.find(chr(c), start + STEP_CHARS)) >= 0]
+            end = min(nearest) + 1 if nearest else len(text)
+            out += pieces(text[start:end])
+        else:
+            out.append(text[start:end])
+        start = end
+    return [*out, text[start:]]
+
+
+def planted(texts: list[str], rng: np.random.Generator, groups: tuple[tuple[str, ...], ...], share: float) -> list[str]:
+    """The texts, a share of them with a term at a random place."""
+    out = list(texts)
+    for i in np.flatnonzero(rng.random(len(texts)) < share).tolist() if groups else ():
+        tokens, group = out[i].split(" "), groups[int(rng.integers(len(groups)))]
+        tokens.insert(int(rng.integers(len(tokens) + 1)), group[int(rng.integers(len(group)))])
+        out[i] = " ".join(tokens)
+    return out
+
+
+def term_changes(groups: tuple[tuple[str, ...], ...], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of all terms, the largest difference of each one's score from another's of its group)"""
+    worst: dict[int, float] = {}
+    for group in groups:
+        s = Sentences([f"{t}." for t in group])
+        score = dict(zip(s.hashes.tolist(), s.word_scores(weights).tolist()))
+        for h, x in score.items():
+            worst[h] = max(worst.get(h, 0.0), max(abs(x - y) for y in score.values()))
+    hashes = np.array(sorted(worst), np.uint64)
+    return hashes, np.array([worst[h] for h in hashes.tolist()])
 
 
 def swaps(s: Sentences, rng: np.random.Generator, groups: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, list[str]]:
@@ -145,18 +199,32 @@ def swaps(s: Sentences, rng: np.random.Generator, groups: tuple[tuple[str, ...],
     return np.array(terms, np.int64), others
 
 
-def train(texts: list[str | None], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, rounds: int = 3, passes: int = 25, seed: int = 0) -> Model:
-    """A model from labelled documents; a fifth of them is held out to choose the threshold."""
+def train(texts: list[str | None], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, mentions: float = MENTIONS, rounds: int = 3, passes: int = 25, seed: int = 0) -> Model:
+    """A model from labelled documents; a fifth of them is held out to choose the threshold and to measure swaps."""
+    model, held = _train(texts, labels, groups, penalty, mentions, rounds, passes, seed)
+    if penalty and mentions and model.threshold < 1:
+        plain, _ = _train(texts, labels, groups, 0.0, mentions, rounds, passes, seed)
+        rng = np.random.default_rng(seed)
+        some = Sentences(planted([t for t, _ in held], rng, groups, 1.0))
+        terms, others = swaps(some, rng, groups)
+        o = Sentences(others)
+        if len(terms):
+            mean = lambda m: float(np.abs(some.word_scores(m.weights)[terms] - o.word_scores(m.weights)[o.word]).mean())
+            model.swap_change, model.plain_swap_change = mean(model), mean(plain)
+    return model
+
+
+def _train(texts: list[str | None], labels: list[int], groups: tuple[tuple[str, ...], ...], penalty: float, mentions: float, rounds: int, passes: int, seed: int) -> tuple[Model, list[tuple[str, int]]]:
     rng = np.random.default_rng(seed)
     rows = sorted((t, int(x)) for t, x in zip(texts, labels) if t and x is not None)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     held = len(rows) // 5
-    own, y_doc = [t for t, _ in rows[held:]], np.array([x for _, x in rows[held:]])
+    own, y_doc = planted([t for t, _ in rows[held:]], rng, groups, mentions), np.array([x for _, x in rows[held:]])
     size = 1 << BUCKET_BITS
     weights, bias = np.zeros(2 * size), 0.0
-    model = Model(weights, bias, 1.0)
+    none = np.zeros(0)
     if not len(y_doc) or y_doc.min() == y_doc.max():
-        return model  # nothing to tell apart: no document is toxic
+        return Model(weights, bias, 1.0, none.astype(np.uint64), none), []  # nothing to tell apart: no document is toxic
     s = Sentences(own)
     y = y_doc[s.doc].astype(float)
     scale = s.log_ratio(y_doc, size)
@@ -189,10 +257,11 @@ def train(texts: list[str | None], labels: list[int], groups: tuple[tuple[str, .
             move = 0.05 * (first / (1 - 0.9**step_no)) / (np.sqrt(second / (1 - 0.999**step_no)) + 1e-8)
             weights -= move[:-1]
             bias -= move[-1]
-    model = Model((scale * weights).astype(np.float32), float(bias), 0.5)
+    final = (scale * weights).astype(np.float32)
+    model = Model(final, float(bias), 0.5, *term_changes(groups, final))
     test = rows[:held] or rows
-    model.threshold = best_threshold(model.scores([t for t, _ in test]), np.array([x for _, x in test]))
-    return model
+    model.threshold = best_threshold(model.scores([t for t, _ in test])[0], np.array([x for _, x in test]))
+    return model, test
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -217,16 +286,17 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_c
     return [(r["text"], r["label"]) for r in some.orderBy(F.xxhash64("text"), "label").limit(8 * rows).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, mentions: float = MENTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from about ``rows`` documents of each label (see ``labelled``), whose score ``penalty`` keeps from changing
     when a term of one of the groups stands for another. Null and empty texts, and labels other than 0 and 1, teach
     nothing; without documents of both labels nothing is toxic."""
     some = labelled(docs, labels, rows, id_col, text_col, label_col)
-    return train([t for t, _ in some], [x for _, x in some], groups, penalty)
+    return train([t for t, _ in some], [x for _, x in some], groups, penalty, mentions)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, toxic) for every row of docs; toxic is score >= the model's threshold.
+    """(doc_id, score, toxic, swap_change) for every row of docs; toxic is score >= the model's threshold, swap_change how
+    much the logit of one of its sentences changes at most when an identity term stands for another of its group.
 
     Null, empty and wordless texts score 0 and aren't toxic; texts of any length are scored whole. Null ids and repeated
     rows are kept, ids keep their type; other columns are not read; an empty table gives no rows. A model fitted without rows of both labels scores every document 0.5 and finds none toxic.
@@ -235,8 +305,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            scores = sent.value.scores(batch.column(1).to_pylist())
-            yield found_rows(batch.column(0), ((i, round(float(x), 6), bool(x >= sent.value.threshold and x > 0)) for i, x in enumerate(scores)), _FOUND)
+            scores, changes = sent.value.scores(batch.column(1).to_pylist())
+            yield found_rows(batch.column(0), ((i, round(float(x), 6), bool(x >= sent.value.threshold and x > 0), round(float(c), 6)) for i, (x, c) in enumerate(zip(scores, changes))), _FOUND)
 
     rows, schema = with_ids(docs, id_col, text_col, FOUND)
     return rows.mapInArrow(run, schema)

@@ -39,7 +39,7 @@ def test_any_text(counter, plain, text):
 
 def test_cache_overflow_changes_nothing(plain, monkeypatch):
     counter = tokens.Counter(open(tokens.VOCABULARY, "rb").read())
-    monkeypatch.setattr(tokens, "CACHED", len(counter.counts) + 5)
+    monkeypatch.setattr(tokens, "CACHED", 5)
     text = prose(5, 3000)
     assert counter.count(text) == counter.count(text) == len(plain(text))
 
@@ -55,3 +55,25 @@ def test_odd_rows(spark, plain):
 
 def test_lone_surrogates(counter):
     assert counter.count("a \ud800 b") == counter.count("a ? b")
+
+
+def test_frequent_cuts_are_the_most_common(spark, monkeypatch):
+    """Merged over several levels, the summaries give the most common cuts of all rows."""
+    from collections import Counter
+
+    texts = [prose(i, 200) for i in range(60)] + [None, "", "  ", "rare\n rare"]
+    docs = documents(spark, texts).repartition(11)
+    want = Counter(c for t in texts if t for c in t.split(" ") if tokens._usable(c))
+    monkeypatch.setattr(tokens, "FAN", 2)
+    found = tokens.frequent_cuts(docs.select("text"))
+    assert found and set(found) <= set(want)
+    top = [c for c, n in sorted(want.items(), key=lambda cn: (-cn[1], cn[0]))[:100]]
+    assert set(top) <= set(found)
+
+
+def test_the_table_tells_hits_from_misses(counter, plain):
+    words = prose(1, 300).split(" ")
+    table = tokens.Frequent(words[:150], counter.encode)
+    for w in words + ["", "é", "x" * 300]:
+        assert table.get(w) == (len(plain(" " + w)) if w in words[:150] else None)
+    assert table.hashes.dtype.itemsize + table.sizes.dtype.itemsize + table.tokens.dtype.itemsize == 10
