@@ -6,10 +6,10 @@ random between them until one of them is 0 or 1, with chances that keep both exp
 is rounded up with exactly its probability, and a source's number of copies is its sum of fractions rounded
 up or down.
 
-Documents meet within leaves (a source's documents by hash of their id), in order of id; what is left of each
+Documents meet within leaves (a source's documents by hash of their id and text), in order of id; what is left of each
 leaf, one fraction at most, meets again in the next level of a reduction tree, until one is left for a source.
-Leaves and random numbers depend on ids and the seed only, not on partitions, so a task that is run again
-decides as before. Only ids, sources and lengths are shuffled.
+Leaves and random numbers depend on ids, texts and the seed only, not on partitions, so a task that is run again
+decides as before. Only ids, sources, lengths and hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -74,14 +74,15 @@ def _generator(seed: int, level: int, source: str | None, node: int) -> np.rando
 
 
 def expected(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, expected): how often each row is due to appear.
+    """(doc_id, source, expected, n, salt): how often each row is due to appear, its source's number of rows, and a hash of
+    its text.
 
     Sizes are counted in characters of whole texts over all rows, and the budget is ``epochs`` times their sum.
     weights give each source its share of the budget, in proportion; sources that they lack get none. Without
     weights, a source counts by its size to the power of POWER. Null is a source of its own, with a share by
     default only. Null and empty texts have no size: they are due as often as the rest of their source.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(5), text_col).alias("salt"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(POWER)))
@@ -94,7 +95,7 @@ def expected(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs
     total = sizes.agg(F.sum("size").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("weight")).first()
     budget, all_weights = epochs * (total["size"] or 0), total["weight"] or 1.0
     due = sizes.select(F.col("source").alias("of"), F.col("n"), F.when(F.col("size") > 0, F.lit(budget) * F.col("weight") / F.lit(all_weights) / F.col("size")).otherwise(F.lit(0.0)).alias("expected"))
-    return rows.join(due, rows.source.eqNullSafe(due.of)).select("doc_id", "source", "expected", "n")
+    return rows.join(due, rows.source.eqNullSafe(due.of)).select("doc_id", "source", "expected", "n", "salt")
 
 
 def _tree_node(seed: int, level: int, last: bool):
@@ -113,16 +114,17 @@ def _tree_node(seed: int, level: int, last: bool):
 
 
 def copies(due: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, source, copies) from (doc_id, source, expected, n), n being the source's number of rows.
+    """(doc_id, source, copies) from (doc_id, source, expected, n, salt), n being the source's number of rows.
 
-    Rows that repeat a document's id and source are rounded one by one, in no order among themselves; ids may
-    be null. expected may differ between a source's rows.
+    Rows that repeat a document's id, source and salt are rounded one by one, in no order among themselves; ids may
+    be null: the salt, a hash of the text, parts rows without an id, or with a common one, between leaves. expected may
+    differ between a source's rows.
     """
-    leaf = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(LEAF)))).cast("int")
-    rows = due.select("doc_id", "source", "expected", leaf.alias("leaf"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(LEAF))).alias("leaves"))
+    leaf = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "salt"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(LEAF)))).cast("int")
+    rows = due.select("doc_id", "source", "expected", "salt", leaf.alias("leaf"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(LEAF))).alias("leaves"))
 
     def round_leaf(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "expected"], na_position="first", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "expected", "salt"], na_position="first", kind="stable").reset_index(drop=True)
         whole = np.floor(pdf["expected"].to_numpy() + EXACT)
         source = None if pd.isna(key[0]) else key[0]
         p, at = pivotal(np.clip(pdf["expected"].to_numpy() - whole, 0, 1), _generator(seed, 0, source, int(key[1])))

@@ -65,7 +65,7 @@ def test_chances_of_single_documents(spark):
     """Many sources of the same documents stand for as many draws."""
     chances = [0.15, 0.4, 0.75, 0.2, 0.9, 0.55, 0.33]
     runs = 300
-    due = spark.createDataFrame([(i, f"s{k}", p, len(chances)) for k in range(runs) for i, p in enumerate(chances)], "doc_id long, source string, expected double, n long")
+    due = spark.createDataFrame([(i, f"s{k}", p, len(chances)) for k in range(runs) for i, p in enumerate(chances)], "doc_id long, source string, expected double, n long").selectExpr("*", "0L AS salt")
     total = Counter()
     for r in m.copies(due).collect():
         total[r["doc_id"]] += r["copies"]
@@ -108,3 +108,17 @@ def test_whole_query(spark, sf_dir):
     for s in chars:
         due = sum(chars.values()) * weights[s] / sum(weights.values()) / chars[s] * number[s]
         assert abs(mine[s] - due) < 1
+
+
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    """A source of rows with a null id, or with one id, isn't gathered in one leaf."""
+    monkeypatch.setattr(m, "LEAF", 20)
+    for i in ("CAST(NULL AS STRING)", "'same'"):
+        docs = spark.range(800).selectExpr(f"{i} AS doc_id", "concat('text ', id) AS text", "'one' AS source")
+        sizes = []
+        due = m.expected(docs, epochs=0.5)
+        leaves = due.selectExpr(f"pmod(xxhash64(0, doc_id, salt), greatest(1L, ceil(n / {m.LEAF}))) AS leaf").groupBy("leaf").count().collect()
+        sizes = [r["count"] for r in leaves]
+        assert max(sizes) < 60 and len(sizes) > 30
+        got = m.mixture(docs, epochs=0.5).collect()
+        assert len(got) == 800 and 380 <= sum(r["copies"] for r in got) <= 420

@@ -130,12 +130,12 @@ def test_mixing_agrees_with_a_plain_version(spark, sf_dir):
     import numpy as np
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    due = mixing.expected(docs).selectExpr("*", f"CAST(pmod(xxhash64(0, doc_id), greatest(1L, ceil(n / {mixing.LEAF}))) AS INT) AS leaf").collect()
+    due = mixing.expected(docs).selectExpr("*", f"CAST(pmod(xxhash64(0, doc_id, salt), greatest(1L, ceil(n / {mixing.LEAF}))) AS INT) AS leaf").collect()
     want = {}
     for source in {r["source"] for r in due}:
         rest = []
         for leaf in sorted({r["leaf"] for r in due if r["source"] == source}):
-            own = sorted((r for r in due if r["source"] == source and r["leaf"] == leaf), key=lambda r: r["doc_id"])
+            own = sorted((r for r in due if r["source"] == source and r["leaf"] == leaf), key=lambda r: (r["doc_id"], r["salt"]))
             whole = [int(np.floor(r["expected"] + mixing.EXACT)) for r in own]
             p, at = mixing.pivotal(np.clip([r["expected"] - w for r, w in zip(own, whole)], 0, 1), mixing._generator(0, 0, source, leaf))
             for k, (r, w) in enumerate(zip(own, whole)):
