@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
-A word's features are its character n-grams of 1 to 4 with the word's ends marked, hashed into buckets. A text
-is the mean of its features' embeddings; a linear softmax over it gives the language. Both are trained together
+A word's features are its character n-grams of 1 to 4 with the word's ends marked, hashed into buckets; words with a
+digit (numbers, keys, parts of addresses) are of no language and don't count. A text is the mean of its features' embeddings; a linear softmax over it gives the language. Both are trained together
 by stochastic gradient descent in numpy. Since the mean is linear, embeddings times output weights make one
 small table, and a text needs only sums over that table.
 
@@ -33,7 +33,7 @@ QUANTILE = 0.005
 #: Share of texts in unknown languages, and of shuffled ones, that one of the two thresholds may let pass.
 MISSED = 0.005
 #: Models trained without a part of the languages, at most.
-FOLDS = 4
+FOLDS = 2
 _PIECE_WORDS = 24
 _CLASSES = 12  # of text lengths, by powers of two
 _WHOLE = 4
@@ -47,6 +47,13 @@ def _buckets(w: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), owner
 
 
+def spelt(w: Words) -> np.ndarray:
+    """Numbers of the words without a digit of 0 to 9."""
+    if not len(w.hashes):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(~np.logical_or.reduceat((w.chars >= 48) & (w.chars <= 57), w.first))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -55,7 +62,7 @@ class Model:
     least: np.ndarray  # by class of length: least confidence, least known share
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: sums of its features' rows, number of features, number of words."""
+        """For each text: sums of its features' rows, number of features, number of words without digits."""
         out = np.zeros((len(texts), self.table.shape[1] + 2))
         for start, end in steps(texts):
             if end - start == 1 and texts[start] and len(texts[start]) > STEP_CHARS:
@@ -67,12 +74,13 @@ class Model:
     def _sums(self, w: Words) -> np.ndarray:
         _, pick, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         rows = np.zeros((len(pick), self.table.shape[1] + 2))
-        rows[:, -1] = 1
-        if len(pick):
-            bucket, owner = _buckets(w, pick)
-            rows[:, -2] = np.bincount(owner, minlength=len(pick))
+        counted = np.flatnonzero(np.isin(pick, spelt(w)))
+        if len(counted):
+            rows[counted, -1] = 1
+            bucket, owner = _buckets(w, pick[counted])
+            rows[counted, -2] = np.bincount(owner, minlength=len(counted))
             for c in range(self.table.shape[1]):
-                rows[:, c] = np.bincount(owner, self.table[bucket, c], len(pick))
+                rows[counted, c] = np.bincount(owner, self.table[bucket, c], len(counted))
         total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows[back], 0)])
         return total[w.splits[1:]] - total[w.splits[:-1]]
 
@@ -85,7 +93,7 @@ class Model:
         return p.argmax(1), p.max(1), sums[:, -3] / n[:, 0], length_class(sums[:, -1])
 
     def detect(self, texts: list[str | None]) -> Iterator[tuple[str | None, float, float, bool]]:
-        """(language, confidence, known share, rejected) of each text; a text without words is rejected."""
+        """(language, confidence, known share, rejected) of each text; a text without such words is rejected."""
         sums = self.sums(texts)
         for k, p, known, c, words in zip(*self.judged(sums), sums[:, -1]):
             reject = bool(not words or p < self.least[c, 0] or known < self.least[c, 1])
@@ -121,8 +129,8 @@ def learnt(rows: list[Row], epochs: int, rate: float, rng: np.random.Generator)
     at = 0
     for label, text in rows:
         w = Words([text])
-        if len(w.hashes):
-            bucket, owner = _buckets(w, np.arange(len(w.hashes)))
+        if len(own := spelt(w)):
+            bucket, owner = _buckets(w, own)
             order = np.argsort(owner // _PIECE_WORDS, kind="stable")
             piece = (owner // _PIECE_WORDS)[order]
             features.append(bucket[order])
@@ -224,7 +232,7 @@ def fit(docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text
 def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, language, confidence, known, rejected) for every row of docs.
 
-    language is null where the text is rejected: it has no word (null and empty texts included), or is too
+    language is null where the text is rejected: it has no word but ones with digits (null and empty texts included), or is too
     unlike what the model knows. Without a model (no labelled row) all are rejected. Texts of any length are read
     whole. Null ids and repeated rows are kept, ids keep their type; other columns are not read; an empty table gives no rows.
     """
@@ -243,7 +251,7 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the model doesn't reject, with the language found where ``lang_col`` is null.
 
-    Texts that are null, empty or without a word are rejected, so an empty table stays empty and without a model nothing
+    Texts that are null, empty or without a word but ones with digits are rejected, so an empty table stays empty and without a model nothing
     stays; ids may be null, rows may repeat, columns may have any name and stay as they are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

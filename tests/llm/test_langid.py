@@ -44,7 +44,7 @@ def test_scores_agree_with_a_plain_mean(tables, model):
     texts = [d["text"] for d in docs[:20]]
     for text, (language, confidence, known, _) in zip(texts, model.detect(texts)):
         w = Words([text])
-        bucket, _ = langid._buckets(w, np.arange(len(w.hashes)))
+        bucket, _ = langid._buckets(w, np.array([i for i, (a, n) in enumerate(zip(w.starts, w.lengths)) if not any(48 <= c <= 57 for c in w.codes[a : a + n])], np.int64))
         mean = model.table[bucket].mean(0)
         z = mean[:-1] + model.bias
         p = np.exp(z - z.max())
@@ -53,6 +53,25 @@ def test_scores_agree_with_a_plain_mean(tables, model):
         assert language in (None, model.languages[int(p.argmax())])
 
 
+def test_unknown_languages_numbers_and_shuffled_letters(tables):
+    """Both error rates: a language that wasn't shown is rejected, the others are kept; numbers tell nothing."""
+    import random
+
+    _, _, docs = tables
+    rng = random.Random(0)
+    for out in ("de", "fr"):
+        some = [d for d in docs if d["lang"] != out and d["doc_id"] % 2 == 0]
+        m = langid.train([d["text"] for d in some], [d["lang"] for d in some])
+        long = [d for d in docs if d["doc_id"] % 2 and len(d["text"].split()) >= 40]
+        strangers = [f[3] for f in m.detect([d["text"] for d in long if d["lang"] == out])]
+        others = [d["text"] for d in long if d["lang"] != out]
+        assert np.mean(strangers) > 0.95 and np.mean([f[3] for f in m.detect(others)]) < 0.05
+        shuffled = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t in others[:100]]
+        assert np.mean([f[3] for f in m.detect(shuffled)]) > 0.95
+        a, b = list(m.detect([others[0], others[0] + " 12345 a1b2c3d4e5f6" * 50]))
+        assert a[:2] == b[:2] and [f[3] for f in m.detect(["123 456 0x9f"])] == [True]
+
+
 def test_long_texts_count_whole(tables, model):
     _, _, docs = tables
     one = {lang: next(d["text"] for d in docs if d["lang"] == lang and len(d["text"]) > 2000) for lang in ("en", "de")}
