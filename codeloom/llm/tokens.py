@@ -51,12 +51,9 @@ class Frequent:
         self.sizes = np.array([min(len(d), 255) for d in data], np.uint8)[order]
         self.tokens = np.array([len(encode(" " + c)) for c in cuts], np.uint8)[order]
 
-    def get(self, cut: str) -> int | None:
-        """Tokens of a cut, if hash and length are in the table."""
-        data = cut.encode("utf-8", "surrogatepass")
-        h = np.uint64(xxhash.xxh64_intdigest(data))
-        at = int(np.searchsorted(self.hashes, h))
-        return int(self.tokens[at]) if at < len(self.hashes) and self.hashes[at] == h and self.sizes[at] == min(len(data), 255) else None
+    def unpacked(self) -> dict[int, tuple[int, int]]:
+        """Hash -> (length, tokens), for one worker."""
+        return dict(zip(self.hashes.tolist(), zip(self.sizes.tolist(), self.tokens.tolist())))
 
 
 class _Counts(dict):
@@ -64,13 +61,14 @@ class _Counts(dict):
 
     def __init__(self, frequent: Frequent, encode):
         super().__init__()
-        self._frequent, self._encode = frequent, encode
+        self._frequent, self._encode = frequent.unpacked(), encode
 
     def __missing__(self, cut: str) -> int:
         if not cut or cut[0].isspace() or cut[-1].isspace():
             raise _Unclean
-        n = self._frequent.get(cut)
-        if n is None:
+        data = cut.encode("utf-8", "surrogatepass")
+        size, n = self._frequent.get(xxhash.xxh64_intdigest(data), (-1, 0))
+        if size != min(len(data), 255):
             if cut[-1] in ",.;:!?" and cut[:-1].isalpha():
                 return self[cut[:-1]] + 1  # the mark is a pre-token of its own
             n = len(self._encode(" " + cut))
@@ -129,12 +127,10 @@ def frequent_cuts(texts: DataFrame) -> list[str]:
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Tally = Tally()
         for batch in parts(batches, 0):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    tally.update(text.split(" "))
+            tally.update(" ".join(filter(None, batch.column(0).to_pylist())).split(" "))
             if len(tally) > 16 * FREQUENT:
                 tally = Tally(dict(tally.most_common(4 * FREQUENT)))
-        yield _top(Tally({c: n for c, n in tally.items() if _usable(c)}))
+        yield _top(Tally({c: n for c, n in tally.items() if n > 1 and _usable(c)}))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Tally = Tally()

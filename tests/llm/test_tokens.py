@@ -74,6 +74,8 @@ def test_frequent_cuts_are_the_most_common(spark, monkeypatch):
 def test_the_table_tells_hits_from_misses(counter, plain):
     words = prose(1, 300).split(" ")
     table = tokens.Frequent(words[:150], counter.encode)
-    for w in words + ["", "é", "x" * 300]:
-        assert table.get(w) == (len(plain(" " + w)) if w in words[:150] else None)
+    known = table.unpacked()
+    assert {(len(w.encode()), len(plain(" " + w))) for w in words[:150]} == set(known.values()) and len(known) == len(set(words[:150]))
+    counter_ = tokens.Counter(open(tokens.VOCABULARY, "rb").read(), frequent=table)
+    assert [counter_.count("a " + w) for w in words] == [len(plain("a " + w)) for w in words]
     assert table.hashes.dtype.itemsize + table.sizes.dtype.itemsize + table.tokens.dtype.itemsize == 10
