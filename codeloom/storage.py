@@ -84,12 +84,13 @@ class Levels:
         self.name, self.parts = name, []
 
     def add(self, level: DataFrame) -> DataFrame:
-        """The level, written; it is readable until two more are added."""
-        if len(self.parts) > self.MERGED:
-            merged = written(self._union(self.parts[:-1]), self.name)
-            discard(*self.parts[:-1])
-            self.parts = [merged, self.parts[-1]]
+        """The level, written; it is readable until the next one is added. What was read of earlier levels is not: the
+        new one may be made from them, so they are merged after it is written."""
         self.parts.append(written(level, self.name))
+        if len(self.parts) > self.MERGED:
+            old = self.parts[:-1]
+            self.parts = [written(self._union(old), self.name), self.parts[-1]]
+            discard(*old)
         return self.parts[-1]
 
     @staticmethod
