@@ -60,6 +60,15 @@ def test_paths(spark):
     assert got == {(("a", "b"), (0,), None), (("a", "c"), (3,), None), (("a", "b", "c"), (0, 1), None), (("a", "c", "a"), (3, 2), "cycle"), (("a", "c", "d"), (3, 4), None), (("a", "b", "c", "a"), (0, 1, 2), "cycle"), (("a", "b", "c", "d"), (0, 1, 4), None)}
 
 
+def test_paths_write_no_tables(spark):
+    """Their number grows with each level; written, they filled the disk."""
+    from codeloom import storage
+
+    before = set(storage._live)
+    out = graph.paths(table(spark, random_edges(1)), roots(spark, "n0", "n1"), 3)
+    assert out.count() > 3 and set(storage._live) == before
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_inheritance_order(spark, seed):
     rng = random.Random(seed)
