@@ -82,3 +82,15 @@ def test_texts_that_are_no_modules():
 @given(st.text(max_size=200))
 def test_any_text_gives_one_row(text):
     assert len(list(parse_rows(iter([("p", "m", text)])))) == 1
+
+
+def test_rows_are_handed_on_in_slices(monkeypatch):
+    """A frame holds the rows of some text, not of all that comes in one batch."""
+    from codeloom.sources import parse
+
+    monkeypatch.setattr(parse, "SLICE", 100)
+    text = "def f():\n    return g()\n"
+    frames = list(parse._frames(((f"{i}.py", f"m{i}", text) for i in range(50)), parse.ADAPTERS))
+    assert max(map(len, frames)) <= 100 // len(text) + 1
+    assert [r for f in frames for r in f["module_path"]] == [f"m{i}" for i in range(50)]
+    assert list(parse._frames(iter([("a.txt", "a", "x")]), parse.ADAPTERS)) == []
