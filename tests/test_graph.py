@@ -69,6 +69,21 @@ def test_paths_write_no_tables(spark):
     assert out.count() > 3 and set(storage._live) == before
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_trace_numbers_its_neighbourhood_only(spark, monkeypatch, small):
+    """Of a graph in which most edges are out of the root's reach, with frontiers broadcast or shuffled."""
+    monkeypatch.setattr(graph, "BROADCAST", small)
+    edges = table(spark, [(0, "a", "b"), (1, "b", "c"), (2, "c", "a"), (3, "c", "d"), (4, "d", "e"), *((i, f"x{i}", f"x{i + 1}") for i in range(5, 60))])
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "qualified_name string")
+    numbered = []
+    of = graph.graph_of
+    monkeypatch.setattr(graph, "graph_of", lambda e: numbered.append(e.count()) or of(e))
+    mine, full = graph.trace(nodes, edges, "a", 3)
+    assert max(numbered) == 4
+    assert [r["edge_ord"] for r in full.orderBy("seq").collect()] == [0, 1, 2, 3]
+    assert {tuple(r) for r in mine.collect()} == {("a", True, False), ("b", True, False), ("c", True, False), ("d", True, True)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_inheritance_order(spark, seed):
     rng = random.Random(seed)
