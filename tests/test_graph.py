@@ -34,6 +34,33 @@ def test_reach(spark, seed, depth):
     assert {tuple(r) for r in graph.reach(table(spark, edges), roots(spark, "n0", "n1", "nowhere"), depth).collect()} == want
 
 
+def test_reach_writes_no_row_for_each_pair(spark, monkeypatch):
+    """Roots that meet a hub: what lies behind it is put together once and comes to them as one list."""
+    edges = [(i, f"r{i}", "hub") for i in range(20)] + [(20 + i, "hub", f"x{i}") for i in range(30)] + [(50 + i, f"x{i}", f"y{i % 3}") for i in range(30)]
+    rows = []
+    add = graph.Levels.add
+    monkeypatch.setattr(graph.Levels, "add", lambda self, level: rows.append(level.count()) or add(self, level))
+    got = graph.reach_counts(table(spark, edges), roots(spark, *(f"r{i}" for i in range(20))), 3)
+    assert {r["reachable"] for r in got.collect()} == {1 + 1 + 30 + 3} and sum(rows) <= 40
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100])
+def test_merging_over_batches(n):
+    """Owners whose rows are cut by batches; a node counts once, at its least distance."""
+    import pyarrow as pa
+
+    rows = [(1, 5, 1, None), (1, 5, 2, None), (1, 2**40, 1, None), (2, 1, 1, None), (3, 3, 0, None), (3, 4, 1, None)]
+
+    def batches(rows):
+        for i in range(0, len(rows), n):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + n]), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["owner", "node", "distance", "ball"])
+
+    balls = {o: b for t in graph._merge(4, "ball")(batches(rows)) for o, b in zip(*(c.to_pylist() for c in t.columns))}
+    again = [(7, 1, 1, balls[1]), (7, 9, 1, balls[3])]
+    got = [r for t in graph._merge(4, "rows")(batches(again)) for r in zip(*(c.to_pylist() for c in t.columns))]
+    assert got == [(7, 1, 1), (7, 3, 1), (7, 4, 2), (7, 5, 2), (7, 2**40, 2)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("depth", [0, 1, 2, 5])
 def test_depth_first_walk(spark, seed, depth):
