@@ -166,6 +166,13 @@ def test_group_stats(spark):
     assert rows["h"]["deepest_reachable"] == 1
 
 
+def test_group_stats_reads_reach_once(spark):
+    """Its three aggregates read a table of one row for each entry, and don't search the graph three times."""
+    grouped = spark.createDataFrame([("a", 0, "t", "x", "g"), ("b", 1, "u", "y", "g")], "id string, ord int, type string, trigger string, group string")
+    files = group.group_stats(grouped, table(spark, [(0, "a", "b"), (1, "b", "c")])).inputFiles()
+    assert files and all("/reached-" in f for f in files)
+
+
 def test_no_edges(spark):
     none = table(spark, [])
     assert graph.dfs(none, roots(spark, "a"), 3).count() == 0
