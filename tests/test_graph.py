@@ -81,6 +81,23 @@ def test_depth_first_walk(spark, seed, depth):
     assert [tuple(r)[2:] for r in got] == want
 
 
+def test_expanded_nodes_tell_the_walk(spark):
+    """With cycles: the edges of the nodes it expands are the walk's edges."""
+    edges = table(spark, random_edges(2, 12, 40))
+    starts = roots(spark, "n0", "n1", "n2")
+    want = {}
+    for r in graph.dfs(edges, starts, 3).collect():
+        want.setdefault(r["root"], []).append((r["edge_ord"], r["callee"]))
+    nodes, known = graph.dfs_expanded(edges, starts, 3)
+    g = graph.graph_of(edges)
+    got, n = {}, {}
+    for r in nodes.withColumnRenamed("root", "id").join(known, "id").join(g.known.drop("caller"), nodes.caller == g.known.caller_id).collect():
+        got.setdefault(r["root"], []).append((r["edge_ord"], r["callee"]))
+        n[r["root"]] = r["n_callees"]
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
+    assert n == {k: len({c for _, c in x}) for k, x in want.items()}
+
+
 def test_paths(spark):
     edges = [(0, "a", "b"), (1, "b", "c"), (2, "c", "a"), (3, "a", "c"), (4, "c", "d")]
     got = {(tuple(r["path"]), tuple(r["steps"]), r["ends"]) for r in graph.paths(table(spark, edges), roots(spark, "a"), 3).collect()}
